@@ -1,0 +1,46 @@
+"""The registered queries of this subpackage and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "replica", "position")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (op3_sharding, op6_mixing, op7_packing, op10_quality_rules)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from tessera.llm.mixing import mix_sql
+    from tessera.llm.quality_rules import rules_sql
+
+    return {"op6_mixing": mix_sql(), "op10_quality_rules": rules_sql()}
