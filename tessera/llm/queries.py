@@ -15,6 +15,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_classifier import classify_quality
+
+    return classify_quality(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix_sources
 
@@ -36,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op6_mixing, op7_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_sharding, op4_quality_classifier, op6_mixing, op7_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
