@@ -17,7 +17,8 @@ from tessera.llm.common import gapless, materialize
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-ROWS_PER_BUCKET = 50_000
+#: Of all pieces, a task numbers about this share at most, however many have one length.
+BUCKET_SHARE = 1 / 512
 #: Swaps that the local search looks for at most; one swap acts on all bins of two patterns at once.
 MAX_SWAPS = 4000
 
@@ -272,7 +273,8 @@ def pack_documents(
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most window rows
     keys, sequences, offsets, _ = pack_plan(counts, window)
     shared = spark.sparkContext.broadcast((keys, sequences, offsets))
-    buckets = max(1, -(-max(counts.values(), default=0) // ROWS_PER_BUCKET))
+    most = max(1, int(sum(counts.values()) * BUCKET_SHARE))
+    buckets = max(1, -(-max(counts.values(), default=0) // most))  # 512 at most
     row = ["__id", "piece", "start", "ids_crc32"]
     ranked = gapless(pieces, ["length"], F.pmod(F.xxhash64(*row), F.lit(buckets)), row, "rank")
     placed = ranked.mapInArrow(_assigner(shared), f"{cut_schema}, sequence_id long, offset long")
