@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import repeats_digest
+
+    return repeats_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shard_documents
 
@@ -42,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op4_quality_classifier, op6_mixing, op7_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op3_sharding, op4_quality_classifier, op6_mixing, op7_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
