@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +38,17 @@ def place(items: np.ndarray, residual: np.ndarray) -> np.ndarray:
 
 
 def _packer(capacity: dict[int, list[float]], n_bins: int):
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         residual: dict[int, np.ndarray] = {}
-        for rows in parts:
-            bins = np.empty(len(rows), dtype=np.int32)
-            vectors, buckets = rows[DIMS].to_numpy(dtype=float), rows["bucket"].to_numpy()
+        for batch in batches:
+            bins = np.empty(batch.num_rows, dtype=np.int32)
+            vectors = np.stack([batch.column(batch.schema.names.index(d)).to_numpy() for d in DIMS], axis=1).astype(float)
+            buckets = batch.column(batch.schema.names.index("bucket")).to_numpy()
             for b in np.unique(buckets):
                 mine = np.flatnonzero(buckets == b)
                 left = residual.setdefault(int(b), np.ones((n_bins, len(DIMS))))
                 bins[mine] = place(vectors[mine] / np.maximum(capacity[int(b)], 1e-9), left)
-            yield rows[["g", "piece", "bucket"]].assign(bundle=bins, **{d: rows[d] for d in DIMS})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins)], [*batch.schema.names, "bundle"])
 
     return pack
 
@@ -105,9 +106,9 @@ def shard_documents(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     packed = materialize(
         dealt.repartition(buckets, "bucket")
         .sortWithinPartitions("bucket", F.desc("bytes"), "g")
-        .mapInPandas(
+        .mapInArrow(
             _packer(room, n_bundles),
-            "g binary, piece int, bucket int, bundle int, bytes long, tokens long, rows long",
+            "g binary, piece int, bytes long, tokens long, rows long, bucket int, bundle int",
         )
     )
     bundles = packed.groupBy("bucket", "bundle").agg(*summed).toPandas()
