@@ -39,6 +39,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.minhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import quality_rules
 
@@ -48,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_dedup, op3_sharding, op4_quality_classifier, op6_mixing, op7_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op3_sharding, op4_quality_classifier, op6_mixing, op7_packing, op8_minhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
