@@ -48,6 +48,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.multi_index import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import quality_rules
 
@@ -57,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_dedup, op3_sharding, op4_quality_classifier, op6_mixing, op7_packing, op8_minhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op3_sharding, op4_quality_classifier, op6_mixing, op7_packing, op8_minhash, op9_multi_index, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
