@@ -27,6 +27,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lattice_lm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix_sources
 
@@ -63,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_dedup, op3_sharding, op4_quality_classifier, op6_mixing, op7_packing, op8_minhash, op9_multi_index, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op3_sharding, op4_quality_classifier, op5_lattice_lm, op6_mixing, op7_packing, op8_minhash, op9_multi_index, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
