@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_extract import extract_html
+
+    return extract_html(_table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_dedup import repeats_digest
 
@@ -69,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_dedup, op3_sharding, op4_quality_classifier, op5_lattice_lm, op6_mixing, op7_packing, op8_minhash, op9_multi_index, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_sharding, op4_quality_classifier, op5_lattice_lm, op6_mixing, op7_packing, op8_minhash, op9_multi_index, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
