@@ -259,7 +259,8 @@ def _groups(similarity: float):
 def _links(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) that are similar, verified on their whole texts."""
     a, b = bodies.select(F.col("node").alias("src"), F.col("raw").alias("x")), bodies.select(F.col("node").alias("dst"), F.col("raw").alias("y"))
-    joined = pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y")
+    # merge joins at any size: what is moved then grows as the input does
+    joined = pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("src", "dst", "x", "y")
     return joined.mapInArrow(_verify(similarity), "src long, dst long, close boolean").filter("close").drop("close")
 
 
@@ -304,7 +305,7 @@ def near_duplicates(
     popular = members.groupBy("node").agg(F.sum("c").alias("popular"))
     members = materialize(members.drop("c").join(popular, "node"))
     bodies = materialize(
-        known.join(members.select("node").distinct(), "node").groupBy("node").agg(F.first("raw").alias("raw"))
+        known.join(members.select("node").distinct().hint("merge"), "node").groupBy("node").agg(F.first("raw").alias("raw"))
     )
 
     alike = F.least("size", "size2") >= F.lit(similarity - 1e-9) * F.greatest("size", "size2")
@@ -330,7 +331,7 @@ def near_duplicates(
         fits = (F.col("texts") <= group_texts) & (F.col("shingles") <= group_shingles)
         nodes = materialize(nodes.join(loads.select("cluster", fits.alias("fits")), "cluster"))
         grouped = (
-            nodes.filter("fits").join(bodies, "node").select("cluster", "node", "component", "raw")
+            nodes.filter("fits").join(bodies.hint("merge"), "node").select("cluster", "node", "component", "raw")
             .repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_groups(similarity), "src long, dst long")
         )
         large = rest.join(nodes.filter("NOT fits").select("node"), "node")
