@@ -274,7 +274,8 @@ def _walk(node: Node, flow: _Flow) -> None:
                 flow.text(f" {child.attrs.get('value', '')} ")
         elif tag in BLOCK or tag == "textarea":
             flow.end_line()
-            flow.put(_block(child), tag in SPACED)
+            nested = node.tag == "li" and tag in ("ul", "ol", "menu", "dir")  # lists in lists have no margin
+            flow.put(_block(child), tag in SPACED and not nested)
         elif tag == "wbr":
             pass
         elif tag == "q":

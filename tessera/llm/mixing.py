@@ -32,7 +32,7 @@ def uniform(seed: int, *parts: Column) -> Column:
 def _with_cdf(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in parts:
         cdfs = []
-        for rate in rows["rate"]:
+        for rate in rows["__rate"]:
             if rate <= 0:
                 cdfs.append([1.0])
                 continue
@@ -40,11 +40,11 @@ def _with_cdf(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             steps = np.log(rate) - np.log(np.maximum(k, 1))
             steps[0] = -rate
             cdfs.append(np.cumsum(np.exp(np.cumsum(steps))))
-        yield rows.assign(cdf=cdfs)
+        yield rows.assign(__cdf=cdfs)
 
 
 def source_rates(df: DataFrame, source_col: str, weights: Mapping[str | None, float] | None, total: int | None, temper: float) -> DataFrame:
-    """(source, n, rate, cdf): rate is the mean number of times that a row of the source is to appear."""
+    """(__source, __n, __rate, __cdf): the rate is the mean number of times that a row of the source is to appear."""
     spark = df.sparkSession
     counts = df.groupBy(F.col(source_col).alias("__source")).agg(F.count(F.lit(1)).alias("__n"))
     if weights is None:
@@ -60,8 +60,8 @@ def source_rates(df: DataFrame, source_col: str, weights: Mapping[str | None, fl
     want, all_w = float(total if total is not None else sums["n"] or 0), float(sums["w"] or 0.0)
     rate = F.col("__w") / F.lit(all_w or 1.0) * F.lit(want) / F.col("__n")
     kind = df.schema[source_col].dataType.simpleString()
-    rates = counts.select("__source", "__n", rate.alias("rate")).mapInPandas(
-        _with_cdf, f"__source {kind}, __n long, rate double, cdf array<double>"
+    rates = counts.select("__source", "__n", rate.alias("__rate")).mapInPandas(
+        _with_cdf, f"__source {kind}, __n long, __rate double, __cdf array<double>"
     )
     rates.n_sources, rates.n_rows = int(sums["k"]), int(sums["n"] or 0)
     return rates
@@ -86,7 +86,8 @@ def mix_sources(
     global order, gapless from 0), and returns partitions in that order.
 
     A null source is a source of its own; a null id hashes as the word null; repeated rows
-    are replicated each; an empty table gives an empty result.
+    are replicated each; an empty table gives an empty result.  Columns of ``df`` named
+    replica or position are replaced; names that begin with two underscores are kept for use here.
     """
     rates = source_rates(df, source_col, weights, total, temper)
     n_rows = rates.n_rows if total is None else total
@@ -98,7 +99,7 @@ def mix_sources(
         joined = df.withColumn("__s", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(
             salted, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__salt"))
         ).drop("__s", "__salt")
-    copies = joined.withColumn("__copies", F.size(F.filter("cdf", lambda c: c <= u))).drop("cdf", "rate", "__n", "__source")
+    copies = joined.withColumn("__copies", F.size(F.filter("__cdf", lambda c: c <= u))).drop("__cdf", "__rate", "__n", "__source")
     rows = (
         copies.filter("__copies > 0")
         .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))

@@ -276,20 +276,21 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     that covers it also starts anywhere else, the same text included; matches never cross
     texts, and all is judged on the input.  Repeated rows are repeats of each other, so
     of texts as long as ``length`` nothing stays; shorter texts stay whole; an empty table
-    gives an empty result.
+    gives an empty result.  Columns of ``df`` that bear the new names are replaced.
     """
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     k1, k2 = _keys(raw)
     cut = materialize(repeated_texts(df, text_col, length, crowd).drop("kept_sha256"))
     added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
-    rows = df.drop(*added).withColumns({"__k1": k1, "__k2": k2, "__raw": raw})
-    joined = rows.join(cut, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
+    rows = df.withColumns({"__k1": k1, "__k2": k2, "__raw": raw}).drop(*added)
+    cut = cut.toDF("__c1", "__c2", "__removed", "__spans", "__kept")
+    joined = rows.join(cut, (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2")), "left")
     return joined.select(
         *[c for c in df.columns if c not in added],
         F.octet_length("__raw").cast("long").alias("n_bytes"),
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_bytes", "__raw").alias("kept_bytes"),
+        F.coalesce("__removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("__spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("__kept", "__raw").alias("kept_bytes"),
     )
 
 
