@@ -16,7 +16,7 @@ SPLIT_SHARE = 0.5
 #: Into so many pieces, by a hash of the id.
 PIECES = 64
 #: Groups that one bucket packs, and the most buckets; a bucket is packed as a stream, so its size is not bounded.
-GROUPS_PER_BUCKET = 10_000
+GROUPS_PER_BUCKET = 2_000
 MAX_BUCKETS = 512
 #: Bundles for each shard, in all buckets and in one at least: finer ones even out better above.
 BUNDLES, LEAST_BUNDLES = 64, 4
