@@ -424,7 +424,7 @@ class Engine:
             else:
                 default = Compiler(self).constant(c["default"])[1] if c.get("default") else None
                 out.append(F.expr(quote(default)).cast(self._typed(t, c["name"])).alias(c["name"]))
-        rows = rows.select(*out)
+        _, rows = write_version(rows.select(*out), self.root, f"{t.name}-rows")  # what is numbered must not change when read again
         top = self._top(t)
         if t.key:
             missing = rows.filter(F.col(t.key).isNull())

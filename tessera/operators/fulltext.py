@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.shims import LOWER, UPPER
 from tessera.plans.lexer import SqlError
 
 #: Tokens of the simple tokenizer: ASCII letters and digits, and every character beyond ASCII.
@@ -179,22 +180,34 @@ class FullText:
 
     Postings are (docid, col, pos, term), one row a token, made by built-in functions.
     Every operator is a filter, join, union or anti-join over them, so rare terms move
-    little: each term is filtered before anything is joined.
+    little: each term is filtered before anything is joined, and cells without the term
+    are dropped before they are taken apart.
     """
 
-    def __init__(self, df: DataFrame, docid: str, columns: list[str], stem: bool = False):
-        self.df, self.docid, self.columns, self.stem = df, docid, columns, stem
+    def __init__(self, df: DataFrame, docid: str, columns: list[str], stem: bool = False, postings: DataFrame | None = None):
+        self.df, self.docid, self.columns, self.stem, self._postings = df, docid, columns, stem, postings
 
-    def tokens(self) -> DataFrame:
+    def save(self, path: str) -> FullText:
+        """Writes the postings in order of terms, so that a term's filter skips all other row groups, and uses them from now on."""
+        self.postings().repartitionByRange("term", "docid").sortWithinPartitions("term", "docid").write.mode("overwrite").parquet(path)
+        return FullText(self.df, self.docid, self.columns, self.stem, self.df.sparkSession.read.parquet(path))
+
+    def tokens(self, holds: str | None = None) -> DataFrame:
+        """(docid, col, pos, raw, term) of every token; with ``holds`` only of cells that have that string, in any case."""
         parts = []
         for i, c in enumerate(self.columns):
             words = F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
-            parts.append(self.df.select(F.col(self.docid).alias("docid"), F.lit(i).alias("col"), F.posexplode(words).alias("pos", "raw")))
+            rows = self.df
+            if holds is not None:
+                rows = rows.filter(F.translate(F.col(c), UPPER, LOWER).contains(holds))  # before anything is exploded
+            parts.append(rows.select(F.col(self.docid).alias("docid"), F.lit(i).alias("col"), F.posexplode(words).alias("pos", "raw")))
         all_ = reduce(DataFrame.unionAll, parts)
-        return all_.withColumn("term", F.translate("raw", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        return all_.withColumn("term", F.translate("raw", UPPER, LOWER))
 
-    def postings(self) -> DataFrame:
-        out = self.tokens().select("docid", "col", "pos", "term")
+    def postings(self, holds: str | None = None) -> DataFrame:
+        if self._postings is not None:
+            return self._postings
+        out = self.tokens(None if self.stem else holds).select("docid", "col", "pos", "term")
         if not self.stem:
             return out
 
@@ -206,7 +219,7 @@ class FullText:
         return out.withColumn("term", stemmed("term"))
 
     def _term(self, term: str, prefix: bool, column: str | None) -> DataFrame:
-        p = self.postings()
+        p = self.postings(term)
         p = p.filter(F.col("term").startswith(term) if prefix else F.col("term") == (porter(term) if self.stem else term))
         if column is not None:
             low = [c.lower() for c in self.columns]

@@ -162,6 +162,14 @@ def test_full_text(spark):
         parse_match("(a")
 
 
+def test_saved_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the quick fox"), (2, "a quick dog")], "id long, body string")
+    fts = FullText(docs, "id", ["body"]).save(str(tmp_path / "postings"))
+    assert sorted(r[0] for r in fts.match('"quick dog" OR the').collect()) == [1, 2]
+    plan = fts.match("quick")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,quick)" in plan
+
+
 @pytest.mark.parametrize("word,stem", [("caresses", "caress"), ("ponies", "poni"), ("hopping", "hop"), ("relational", "relat"), ("happy", "happi"), ("plating", "plate"), ("controlling", "control"), ("at", "at")])
 def test_porter(word, stem):
     assert porter(word) == stem
