@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,8 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
     This cuts the lineage at a table that survives the loss of any executor, and
-    pins rows that later steps read more than once.  The table goes when the
-    driver's process ends.
+    pins rows that later steps read more than once.  The table goes by ``release`` or
+    when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
@@ -47,7 +49,27 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+#: Where the tables of live DataFrames from ``materialize`` are.
+_paths: dict[int, str] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables from ``materialize`` that nothing will read again, and lets Spark drop finished shuffles.
+
+    Only for tables whose every reader has itself been written to the shared folder.
+    """
+    for t in tables:
+        path = _paths.pop(id(t), None)
+        if path:
+            _remove(t.sparkSession, path)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -137,7 +159,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             joined.select("u", F.col("m").alias("v"))
         )
-        now = materialize(small.filter("u <> v").distinct())
+        before, now = now, materialize(small.filter("u <> v").distinct())
+        path = _paths.pop(id(before), None)
+        if path:
+            _remove(before.sparkSession, path)
     else:
         raise RuntimeError("components have not settled")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

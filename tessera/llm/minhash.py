@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, materialize
+from tessera.llm.common import connected_components, materialize, release
 from tessera.llm.words import Words, mix64, text_chunks
 
 SHINGLE = 5
@@ -301,9 +301,10 @@ def near_duplicates(
     )
     banded = texts.filter("size > 0").select("node", "size", F.posexplode("bands").alias("band", "h"))
     crowds = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2")
-    members = materialize(banded.join(crowds, ["band", "h"]))
-    popular = members.groupBy("node").agg(F.sum("c").alias("popular"))
-    members = materialize(members.drop("c").join(popular, "node"))
+    shared = materialize(banded.join(crowds, ["band", "h"]))
+    popular = shared.groupBy("node").agg(F.sum("c").alias("popular"))
+    members = materialize(shared.drop("c").join(popular, "node"))
+    release(shared)
     bodies = materialize(
         known.join(members.select("node").distinct().hint("merge"), "node").groupBy("node").agg(F.first("raw").alias("raw"))
     )
@@ -353,6 +354,7 @@ def near_duplicates(
         more = materialize(more)
         if not more.isEmpty():
             classes = materialize(connected_components(links.union(more)))
+    release(members, bodies, rest)
     own = texts.select("k1", "k2", "node").join(classes, "node", "left").select(
         "k1", "k2", F.coalesce("component", "node").alias("class_id")
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, release
 from tessera.llm.suffix_array import permuted_lcp, suffix_array
 from tessera.llm.words import _RANDOM, mix64, text_chunks
 
@@ -194,15 +193,10 @@ def _keys(text):
     return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2")
 
 
-def _tidy(df: DataFrame) -> DataFrame:
-    """Lets Spark drop the shuffle files of finished steps now, not when the driver's heap fills."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
-
-
-def repeated_texts(df: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(k1, k2, n_removed, n_spans, kept_bytes, kept_sha256) of each different text that loses bytes.
+def repeated_texts(
+    df: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, drop: tuple[str, ...] = ()
+) -> DataFrame:
+    """(k1, k2, n_removed, n_spans, kept_bytes, kept_sha256) of each different text that loses bytes, without ``drop``.
 
     1. A scan cuts each text into runs of windows that share an anchor: a piece of text
        from the first window's start to the last one's end, known by its hash.  Texts that
@@ -221,22 +215,24 @@ def repeated_texts(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     lists = "anchor array<long>, s1 array<long>, s2 array<long>, start array<int>, n array<int>"
     cut = base.mapInArrow(_cut(length), f"k1 long, k2 long, {lists}")
     names = ["anchor", "s1", "s2", "start", "n"]
-    texts = _tidy(materialize(
+    texts = materialize(
         cut.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in names])
-    ))
+    )
     found = texts.select("k1", "k2", "m", F.inline(F.arrays_zip(*names)))
     pieces = found.groupBy("anchor", "s1", "s2").agg(F.sum("m").alias("times"))
     shared = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds >= 2")
-    wanted = _tidy(materialize(
+    wanted = materialize(
         pieces.join(shared, "anchor", "left")
         .filter("times >= 2 OR kinds >= 2")
         .select("anchor", "s1", "s2", (F.col("times") >= 2).alias("whole"), F.coalesce("kinds", F.lit(1)).alias("kinds"))
-    ))
-    places = _tidy(materialize(found.drop("m").join(wanted, ["anchor", "s1", "s2"])))
+    )
+    places = materialize(found.drop("m").join(wanted, ["anchor", "s1", "s2"]))
+    release(texts, wanted)
 
     candidates = places.select("k1", "k2").distinct()
     bodies = base.groupBy("k1", "k2").agg(F.first("raw").alias("raw"))
-    bodies = _tidy(materialize(bodies.join(candidates, ["k1", "k2"], "left_semi")))
+    bodies = materialize(bodies.join(candidates, ["k1", "k2"], "left_semi"))
+    release(candidates)
 
     one = places.filter("kinds >= 2").groupBy("anchor", "s1", "s2").agg(
         F.min(F.struct("k1", "k2", "start", "n")).alias("at"), F.first("whole").alias("whole"), F.first("kinds").alias("kinds")
@@ -264,9 +260,12 @@ def repeated_texts(df: DataFrame, text_col: str = "text", length: int = LENGTH,
         .selectExpr("k1", "k2", "start + runs[i] AS b", f"start + runs[i + 1] + {length} - 1 AS e")
     )
     spans = whole.union(part).groupBy("k1", "k2").agg(F.collect_list("b").alias("bs"), F.collect_list("e").alias("es"))
-    return bodies.join(spans, ["k1", "k2"]).select("k1", "k2", "raw", "bs", "es").mapInArrow(
+    cut = bodies.join(spans, ["k1", "k2"]).select("k1", "k2", "raw", "bs", "es").mapInArrow(
         _remove, "k1 long, k2 long, n_removed long, n_spans long, kept_bytes binary, kept_sha256 string"
     )
+    out = materialize(cut.drop(*drop))
+    release(places, bodies)
+    return out
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
@@ -280,7 +279,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     """
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     k1, k2 = _keys(raw)
-    cut = materialize(repeated_texts(df, text_col, length, crowd).drop("kept_sha256"))
+    cut = repeated_texts(df, text_col, length, crowd, ("kept_sha256",))
     added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     rows = df.withColumns({"__k1": k1, "__k2": k2, "__raw": raw}).drop(*added)
     cut = cut.toDF("__c1", "__c2", "__removed", "__spans", "__kept")
@@ -297,7 +296,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
 def repeats_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """What ``remove_repeats`` does to each row, as counts and the SHA-256 of what stays."""
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    cut = materialize(repeated_texts(df, text_col, length, crowd).drop("kept_bytes"))
+    cut = repeated_texts(df, text_col, length, crowd, ("kept_bytes",))
     rows = df.select(F.col(id_col), *_keys(raw), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("own"))
     return rows.join(cut, ["k1", "k2"], "left").select(
         id_col,
