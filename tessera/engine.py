@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.shims import affinity, quote
+from tessera.functions.shims import COLLATIONS, affinity, quote, value
 from tessera.plans.compiler import ROWID, Compiler, Scope, Source, ident
 from tessera.plans.lexer import SqlError, split_statements
 from tessera.plans.parser import parse
@@ -82,7 +82,7 @@ class Engine:
         self.indexes: dict[str, dict] = {}
         self.triggers: dict[str, dict] = {}
         self.hooks: list[tuple[str, str, Callable]] = []
-        self.udfs: dict[str, str] = {}
+        self.udfs: dict[tuple[str, int | None], tuple[str, str]] = {}
         self.aggregates: dict[str, str] = {}
         self.attached: list[str] = []
         self.last_insert_rowid = self.changes = self.total_changes = 0
@@ -180,11 +180,19 @@ class Engine:
     # functions
 
     def create_function(self, name: str, fn, returns: str = "text", n_args: int | None = None) -> None:
-        """A scalar function: a Python callable or a pandas UDF, by the type it returns."""
+        """A scalar function: a Python callable or a pandas UDF, by the type it returns.
+
+        With ``n_args`` it serves calls with so many arguments only, beside others of its name.
+        """
         if not hasattr(fn, "evalType"):
             fn = F.udf(fn, _RETURNS[returns])
-        self.spark.udf.register(name, fn)
-        self.udfs[name.lower()] = returns
+        called = name.lower() if n_args is None else f"{name.lower()}__{n_args}"
+        self.spark.udf.register(called, fn)
+        self.udfs[name.lower(), n_args] = called, returns
+
+    def create_collation(self, name: str, key: Callable[[str], str]) -> None:
+        """A collation by its sort key: Spark SQL text of a value to Spark SQL text of what is compared instead."""
+        COLLATIONS[name.upper()] = key
 
     def create_aggregate(self, name: str, fn, returns: str = "real") -> None:
         """An aggregate: a grouped-aggregate pandas UDF."""
@@ -404,8 +412,6 @@ class Engine:
         if s["select"] is not None:
             rows = self.spark.sql(compiler.select(s["select"])[0])
         elif s["values"]:
-            from tessera.functions.shims import value
-
             rows = self.spark.sql("SELECT " + ", ".join(f"{value(compiler.expr(e, Scope([])))[0]} AS c{i}" for i, e in enumerate(s["values"])))
         else:
             rows, names = self.spark.range(1).select(), []
@@ -510,25 +516,29 @@ class Engine:
 
     def _do_update(self, s, params, text) -> DataFrame:
         t = self._managed(s["table"])
-        compiler, scope = Compiler(self, params), self._scope(t)
-        test = compiler.boolean(s["where"], scope) if s["where"] else "true"
+        scope = self._scope(t)
+        test = Compiler(self, params).boolean(s["where"], scope) if s["where"] else "true"
+        return self._count(self._update_rows(t, s, Compiler(self, params), scope, f"{ident(t.view)} WHERE coalesce({test}, false)"))
+
+    def _update_rows(self, t: Table, s: dict, compiler: Compiler, scope: Scope, source: str) -> int:
         sets = {}
         for name, e in s["sets"]:
-            from tessera.functions.shims import value
-
             column = self._column(t, name)
             sets[column] = f"CAST({value(compiler.expr(e, scope))[0]} AS {self._typed(t, column).simpleString()})"
-        columns = [f"{ident(c)} AS {ident('__old_' + c)}" for c in t.df.columns]
-        changed = [f"{sets.get(c, ident(c))} AS {ident(c)}" for c in t.df.columns]
-        both = self.spark.sql(f"SELECT {', '.join(changed + columns)} FROM {ident(t.view)} WHERE coalesce({test}, false)")
+        own = {c: f"{ident(t.view)}.{ident(c)}" for c in t.df.columns}
+        columns = [f"{own[c]} AS {ident('__old_' + c)}" for c in t.df.columns]
+        changed = [f"{sets.get(c, own[c])} AS {ident(c)}" for c in t.df.columns]
+        both = self.spark.sql(f"SELECT {', '.join(changed + columns)} FROM {source}")
         _, both = write_version(both, self.root, f"{t.name}-rows")
         new = both.select(*t.df.columns)
         old = both.select(*[F.col(f"__old_{c}").alias(c) for c in t.df.columns])
         n = both.count()
         if not n:
-            return self._count(0)
+            return 0
+        if " JOIN " in source and self._repeated(old, [t.key or ROWID]):
+            raise SqlError("a trigger's UPDATE may change a row once for each statement")
         if self._stops(t, "UPDATE", old, new, set(sets)):
-            return self._count(0)
+            return 0
         self._fire(t, "UPDATE", "BEFORE", old, new, set(sets))
         rest = t.df.join(old.select(F.col(t.key or ROWID)), t.key or ROWID, "left_anti").select(*t.df.columns)
         new = self._check(t, new, s["policy"])
@@ -542,7 +552,7 @@ class Engine:
         self._references(t, new)
         self._parents(t, old, new)
         self._fire(t, "UPDATE", "AFTER", old, new, set(sets))
-        return self._count(n)
+        return n
 
     def _do_delete(self, s, params, text) -> DataFrame:
         t = self._managed(s["table"])
@@ -678,14 +688,25 @@ class Engine:
                 elif only_raise:
                     continue
                 elif step["kind"] == "insert" and step["values"] is not None:
-                    from tessera.functions.shims import value
-
                     target = self._managed(step["table"])
                     names = step["columns"] or [c["name"] for c in target.columns]
                     items = ", ".join(f"{value(compiler.expr(self._renamed(e), scope))[0]} AS {ident(n)}" for e, n in zip(step["values"], names))
                     self.insert_rows(step["table"], self.spark.sql(f"SELECT {items} FROM {source} WHERE {when}"), step["policy"])
+                elif step["kind"] in ("update", "delete"):
+                    # all rows that fired at once: each row of the target that some of them meets
+                    target = self._managed(step["table"])
+                    own = self._scope(target).sources[0]
+                    both = Scope([own, scope.sources[0]])
+                    test = compiler.boolean(self._renamed(step["where"]), both) if step["where"] else "true"
+                    meets = f"coalesce(({when}) AND ({test}), false)"
+                    if step["kind"] == "update":
+                        renamed = step | {"sets": [(c, self._renamed(e)) for c, e in step["sets"]]}
+                        self._update_rows(target, renamed, compiler, both, f"{ident(target.view)} JOIN {source} ON {meets}")
+                    else:
+                        gone = self.spark.sql(f"SELECT {ident(target.view)}.* FROM {ident(target.view)} LEFT SEMI JOIN {source} ON {meets}")
+                        self._delete_rows(target, write_version(gone, self.root, f"{target.name}-rows")[1])
                 else:
-                    raise SqlError("a trigger's steps may insert VALUES or SELECT RAISE(); use Engine.on() for others")
+                    raise SqlError("a trigger's steps may be INSERT VALUES, UPDATE, DELETE or SELECT RAISE(); use Engine.on() for others")
         if timing == "AFTER":
             for ev, table, hook in self.hooks:
                 if ev == event and table == t.name.lower():

@@ -7,6 +7,9 @@ shims are built-in functions only, so they stay inside whole-stage code generati
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+
+from tessera.plans.lexer import SqlError
 
 Typed = tuple[str, str]
 
@@ -125,10 +128,16 @@ def fold(sql: str) -> str:
     return f"translate({sql}, '{UPPER}', '{LOWER}')"
 
 
+#: Collations: the sort key, as Spark SQL text, of a value.  Engine.create_collation adds to them.
+COLLATIONS: dict[str, Callable[[str], str]] = {"BINARY": lambda sql: sql, "NOCASE": fold, "RTRIM": lambda sql: f"rtrim({sql})"}
+
+
 def collate(sql: str, name: str | None) -> str:
-    if name == "NOCASE":
-        return fold(sql)
-    return f"rtrim({sql})" if name == "RTRIM" else sql
+    if name is None:
+        return sql
+    if name not in COLLATIONS:
+        raise SqlError(f"no such collation sequence: {name}")
+    return COLLATIONS[name](sql)
 
 
 def compare(op: str, a: Typed, b: Typed, collation: str | None = None, columns: tuple[bool, bool] = (True, True), literals: tuple = (None, None)) -> Typed:

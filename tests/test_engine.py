@@ -142,7 +142,26 @@ def test_plans(engine):
 
 def test_functions(engine):
     engine.create_function("twice", lambda x: None if x is None else 2 * x, "int")
-    assert rows(engine.sql("SELECT twice(n_nationkey) FROM nation WHERE n_nationkey = 4")) == [(8,)]
+    engine.create_function("join2", lambda a, b: f"{a}-{b}", "text", 2)
+    engine.create_function("join2", lambda a: f"{a}!", "text", 1)
+    got = engine.sql("SELECT twice(n_nationkey), join2(n_nationkey, 'x'), join2(n_name) FROM nation WHERE n_nationkey = 4")
+    assert rows(got) == [(8, "4-x", "NATION_4!")]
+    engine.create_collation("BACK", lambda sql: f"reverse({sql})")
+    got = engine.sql("SELECT x FROM (SELECT 'az' AS x UNION ALL SELECT 'ba') ORDER BY x COLLATE BACK")
+    assert rows(got) == [("ba",), ("az",)]
+    with pytest.raises(SqlError, match="no such collation"):
+        engine.sql("SELECT 'a' = 'b' COLLATE NONE")
+
+
+def test_trigger_updates_and_deletes(engine):
+    engine.script("""CREATE TABLE t (a INTEGER PRIMARY KEY, b INT); CREATE TABLE total (k INTEGER PRIMARY KEY, n INT); CREATE TABLE copy (a INT);
+        INSERT INTO total VALUES (1, 0); INSERT INTO copy VALUES (5); INSERT INTO copy VALUES (6);
+        CREATE TRIGGER up AFTER INSERT ON t BEGIN UPDATE total SET n = n + new.b WHERE k = 1; END;
+        CREATE TRIGGER down AFTER DELETE ON t BEGIN DELETE FROM copy WHERE a = old.b; END;
+        INSERT INTO t VALUES (1, 5)""")
+    assert rows(engine.sql("SELECT n FROM total")) == [(5,)]
+    engine.sql("DELETE FROM t")
+    assert rows(engine.sql("SELECT a FROM copy")) == [(6,)]
 
 
 def test_full_text(spark):
