@@ -274,8 +274,11 @@ def pack_documents(
     keys, sequences, offsets, _ = pack_plan(counts, window)
     shared = spark.sparkContext.broadcast((keys, sequences, offsets))
     most = max(1, int(sum(counts.values()) * BUCKET_SHARE))
-    buckets = max(1, -(-max(counts.values(), default=0) // most))  # 512 at most
+    # only lengths that many pieces have are cut: at most window + 1 / BUCKET_SHARE buckets in all
+    cuts = spark.createDataFrame([(k, -(-n // most)) for k, n in counts.items()], "length long, cuts long")
     row = ["__id", "piece", "start", "ids_crc32"]
-    ranked = gapless(pieces, ["length"], F.pmod(F.xxhash64(*row), F.lit(buckets)), row, "rank")
+    cut = pieces.join(F.broadcast(cuts), "length")
+    ranked = gapless(cut, ["length"], F.pmod(F.xxhash64(*row), F.col("cuts")), row, "rank")
+    ranked = ranked.select("__id", "piece", "start", "length", "ids_crc32", "rank")
     placed = ranked.mapInArrow(_assigner(shared), f"{cut_schema}, sequence_id long, offset long")
     return placed.withColumnRenamed("__id", id_col)
