@@ -20,7 +20,8 @@ GROUPS_PER_BUCKET = 2_000
 MAX_BUCKETS = 512
 #: Bundles for each shard, in all buckets and in one at least: finer ones even out better above.
 BUNDLES, LEAST_BUNDLES = 64, 4
-ROWS_PER_SLOT_BUCKET = 50_000
+#: Rows that one task numbers, and the most such buckets a shard has: their offsets are broadcast.
+ROWS_PER_SLOT_BUCKET, MAX_SLOT_BUCKETS = 50_000, 1024
 DIMS = ["bytes", "tokens", "rows"]
 
 
@@ -127,11 +128,11 @@ def shard_documents(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     )
     rows = base.join(hot, "g", "left").withColumn("piece", F.when(F.col("hot"), F.col("salt")).otherwise(F.lit(-1)))
     sharded = rows.join(placed, ["g", "piece"]).select("__id", "size", "text_crc32", "tokens", "shard")
-    per_slot = max(1, -(-n_rows // (n_shards * ROWS_PER_SLOT_BUCKET)))
+    per_slot = min(MAX_SLOT_BUCKETS, max(8, -(-n_rows // (n_shards * ROWS_PER_SLOT_BUCKET))))
     slotted = gapless(
         sharded,
         ["shard"],
-        F.pmod(F.xxhash64(F.lit(7), "__id", "text_crc32"), F.lit(max(8, per_slot))),
+        F.pmod(F.xxhash64(F.lit(7), "__id", "text_crc32"), F.lit(per_slot)),
         ["__id", "text_crc32", "size"],
         "slot",
     )
