@@ -16,6 +16,8 @@ COSINE = 0.9
 SAMPLE_ROWS = 20_000
 #: Probes are raised until this share of the sample's links is found; the shortest and longest lists of probes.
 TARGET_RECALL, LEAST_PROBES, MAX_PROBES = 0.995, 4, 256
+#: Codes of a book at most: the grid's cells are counted in a broadcast table.
+MAX_CODES = 512
 #: Vectors of a cell, and queries to it, that one task compares.
 BLOCK_MEMBERS, BLOCK_QUERIES = 2_000, 8_000
 
@@ -90,7 +92,7 @@ def fit_index(x: np.ndarray, rows: float, cosine: float = COSINE, seed: int = 9)
     blocks, are found at the target rate.
     """
     rng = np.random.default_rng(seed)
-    k = int(np.clip(np.sqrt(max(rows, 1) / 16), 4, 64))
+    k = int(np.clip(np.sqrt(max(rows, 1) / 16), 4, MAX_CODES))  # some sixteen vectors a cell, while codes last
     half = x.shape[1] // 2
     books = codebook(x[:, :half], k, rng), codebook(x[:, half:], k, rng)
     cell = multi_sequence(x, books, 1)[:, 0]
