@@ -117,8 +117,8 @@ def gapless(df: DataFrame, by: list[str], bucket: Column, order: list, out: str)
     )
 
 
-#: Of all edges, the share from which on a node is a hub.
-HUB_SHARE = 1 / 1000
+#: A hub has more edges than this, and this share of all.
+HUB_EDGES, HUB_SHARE = 100_000, 1 / 1000
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -126,8 +126,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each is one
     aggregation over the edges, the number of edges never grows, and O(log n) rounds settle.
-    A node that holds over ``HUB_SHARE`` of the edges would meet its neighbours in one task;
-    such hubs are few (2 / HUB_SHARE at most), so their minimum is broadcast to the edges.
+    A node with over ``HUB_EDGES`` edges and ``HUB_SHARE`` of all would meet its neighbours in
+    one long task; such hubs are few (2 / HUB_SHARE at most), so their minimum is broadcast to
+    the edges.  Where there are too few edges for a hub the plan goes without.
     """
     both = edges.filter("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
@@ -143,16 +144,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         last = state
         sym = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(
-            F.col("u").alias("c"), F.least("u", "m").alias("m"), (F.col("degree") > state["n"] * HUB_SHARE).alias("hub")
+            F.col("u").alias("c"), F.least("u", "m").alias("m"), "degree"
         )
-        hubs = least.filter("hub").select(F.col("c").alias("hc"), F.col("m").alias("hm"))
-        larger = sym.filter("v > u").join(F.broadcast(hubs), F.col("u") == F.col("hc"), "left")
         # large star: every larger neighbour of a node is linked to the node's minimum
-        large = (
-            larger.filter("hc IS NULL").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(larger.filter("hc IS NOT NULL").select(F.col("v").alias("u"), F.col("hm").alias("v")))
-            .distinct()
-        )
+        larger = sym.filter("v > u")
+        if state["n"] <= HUB_EDGES:
+            large = larger.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            hubs = least.filter(F.col("degree") > max(HUB_EDGES, state["n"] * HUB_SHARE))
+            larger = larger.join(F.broadcast(hubs.select(F.col("c").alias("hc"), F.col("m").alias("hm"))), F.col("u") == F.col("hc"), "left")
+            large = larger.filter("hc IS NULL").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.union(larger.filter("hc IS NOT NULL").select(F.col("v").alias("u"), F.col("hm").alias("v")))
+        large = large.distinct()
         # small star: a node and its smaller neighbours are linked to the smallest of them
         floor = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         joined = large.join(floor, large.u == floor.c)
