@@ -19,7 +19,7 @@ BANDS, ROWS = 20, 4
 #: Groups of texts that share buckets and are not one class after the first round: up to so many
 #: texts and shingles a task compares them in memory; larger ones go through pairs in an aggregation.
 GROUP_TEXTS, GROUP_SHINGLES = 8_000, 3_000_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
 

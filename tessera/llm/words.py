@@ -67,7 +67,7 @@ class Words:
         return mix64((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
 
-def text_chunks(column: pa.Array, chunk_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, chunk_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, bytes, bounds) of runs of texts of about ``chunk_bytes``; a null text is empty."""
     column = column.cast(pa.large_binary())
     n = len(column)
