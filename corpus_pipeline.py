@@ -15,6 +15,8 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.quality_classifier import classify_quality
 from tessera.llm.suffix_dedup import remove_repeats
 
+#: Words of a repeated passage that goes, at least; so do repeats of suffix_dedup.LENGTH bytes, however few their words.
+PASSAGE_WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -33,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from the texts; a character that a cut splits goes with it."""
-    cut = remove_repeats(docs)
+    """Repeated passages of over 50 words or of 400 bytes go from the texts; a character that a cut splits goes with it."""
+    cut = remove_repeats(docs, words=PASSAGE_WORDS)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(
         F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept_bytes").cast("string"))), F.lit("�"), F.lit(""))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, release
 from tessera.llm.suffix_array import permuted_lcp, suffix_array
-from tessera.llm.words import _RANDOM, mix64, text_chunks
+from tessera.llm.words import _RANDOM, Words, mix64, text_chunks
 
 LENGTH = 400
 #: Bytes of a gram whose hash anchors windows.
@@ -31,9 +31,9 @@ def _gram(length: int) -> int:
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int):
-    """Cuts the windows of ``length`` bytes within texts into runs that share an anchor.
+    """Cuts the windows of ``length`` symbols within texts into runs that share an anchor.
 
-    A window's anchor is the gram of least hash in it (the first of equals), so equal
+    ``data`` has the texts' bytes, or 64-bit hashes of their words.  A window's anchor is the gram of least hash in it (the first of equals), so equal
     windows have equal anchors wherever they occur.  Returns arrays (text, start in the
     text, number of windows, the anchor's hash).
     """
@@ -41,7 +41,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int):
     none = np.zeros(0, dtype=np.int64)
     if n < length:
         return none, none, none, none
-    h, step, power = _RANDOM[data], 1, np.uint64(0x9E3779B97F4A7C15)
+    h, step, power = _RANDOM[data] if data.dtype == np.uint8 else data, 1, np.uint64(0x9E3779B97F4A7C15)
     while step < gram:
         h = h[:-step] * power + h[step:]
         power, step = np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF), step * 2
@@ -77,21 +77,30 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int):
     return text, starts - bounds[text], stops - starts, h[place[starts]].view(np.int64)
 
 
-def _cut(length: int):
-    fields = ["k1", "k2", "anchor", "s1", "s2", "start", "n"]
+def _cut(length: int, words: bool = False):
+    """Pieces of each text; of words also their place ``at`` and ``size`` in bytes, and marks that white space does not change."""
+    fields = ["k1", "k2", "anchor", "s1", "s2", "start", "n"] + ["at", "size"] * words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, bounds in text_chunks(batch.column(2)):
-                text, start, n, anchor = anchors(data, bounds, length)
                 raw = data.tobytes()
-                at = bounds[text] + start
-                marks = b"".join(
-                    [blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(at.tolist(), (at + n + length - 1).tolist())]
-                )
+                if words:
+                    found = Words(data, bounds)
+                    text, start, n, anchor = anchors(found.hashes(), found.first, length)
+                    first = found.first[text] + start
+                    at, to = found.starts[first], found.ends[first + n + length - 2]
+                    bodies = [b" ".join(raw[x:y].split()) for x, y in zip(at.tolist(), to.tolist())]
+                else:
+                    text, start, n, anchor = anchors(data, bounds, length)
+                    at = bounds[text] + start
+                    bodies = [raw[x:y] for x, y in zip(at.tolist(), (at + n + length - 1).tolist())]
+                marks = b"".join([blake2b(body, digest_size=16).digest() for body in bodies])
                 marks = np.frombuffer(marks, dtype=np.int64).reshape(-1, 2)
                 per = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=b - a)))).astype(np.int32)
                 lists = [anchor, marks[:, 0], marks[:, 1], start.astype(np.int32), n.astype(np.int32)]
+                if words:
+                    lists += [(at - bounds[text]).astype(np.int32), (to - at).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)]
                     + [pa.ListArray.from_arrays(pa.array(per), pa.array(np.ascontiguousarray(x))) for x in lists],
@@ -101,12 +110,15 @@ def _cut(length: int):
     return run
 
 
-def repeated_windows(blobs: list[bytes], length: int) -> list[list[int]]:
+def repeated_windows(blobs: list[bytes], length: int, words: bool = False) -> list[list[int]]:
     """For each blob the windows that occur more than once in all blobs, as [from, to, from, to, ...].
 
     One suffix array over the blobs end to end; equal windows are neighbours in it, and
-    the permuted common prefixes tell where neighbours share a whole window.
+    the permuted common prefixes tell where neighbours share a whole window.  A window of
+    words is its bytes with one space around each word: equal ones start at words too.
     """
+    if words:
+        blobs = [b" %b " % b" ".join(b.split()) for b in blobs]
     sizes = np.array([len(b) + 1 for b in blobs])
     ends = np.cumsum(sizes)
     s = np.zeros(ends[-1], dtype=np.int64)
@@ -115,11 +127,23 @@ def repeated_windows(blobs: list[bytes], length: int) -> list[list[int]]:
     s[fill] = np.frombuffer(b"".join(blobs), dtype=np.uint8).astype(np.int64) + 1
     order = suffix_array(s, 257)
     plcp, phi = permuted_lcp(s, order)
-    deep = np.flatnonzero(plcp >= length)
+    if words:
+        gaps = [begin + np.flatnonzero(np.frombuffer(b, np.uint8) == 32) for b, begin in zip(blobs, (ends - sizes).tolist())]
+        need = np.full(len(s), len(s) + 1)
+        for g in gaps:
+            need[g[:-length]] = g[length:] - g[:-length] + 1
+        deep = np.flatnonzero(plcp >= need)
+    else:
+        deep = np.flatnonzero(plcp >= length)
     hit = np.zeros(len(s), dtype=bool)
     hit[deep] = True
     hit[phi[deep]] = True
     out = []
+    if words:
+        for g in gaps:
+            flags = np.concatenate(([False], hit[g[:-length]], [False])).astype(np.int8)
+            out.append(np.flatnonzero(np.diff(flags)).tolist())
+        return out
     for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
         flags = np.zeros(max(0, end - begin - length) + 2, dtype=np.int8)
         flags[1:-1] = hit[begin : begin + len(flags) - 2]
@@ -127,7 +151,7 @@ def repeated_windows(blobs: list[bytes], length: int) -> list[list[int]]:
     return out
 
 
-def _shards(length: int):
+def _shards(length: int, words: bool = False):
     """Rows (anchor, s1, s2, blob) come sorted by anchor; a shard is a run of whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +159,7 @@ def _shards(length: int):
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            runs = repeated_windows([b for _, _, b in held], length)
+            runs = repeated_windows([b for _, _, b in held], length, words)
             return pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _, _ in held], pa.int64()), pa.array([b for _, b, _ in held], pa.int64()),
                  pa.array(runs, pa.list_(pa.int32()))],
@@ -156,6 +180,25 @@ def _shards(length: int):
     return run
 
 
+def _word_windows(length: int):
+    """Of each blob (s1, s2, blob) its windows of words with a 128-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s1, s2, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                found = blob.split()
+                n = len(found) - length + 1
+                marks = b"".join([blake2b(b" ".join(found[w : w + length]), digest_size=16).digest() for w in range(n)])
+                marks = np.frombuffer(marks, dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s1] * n, pa.int64()), pa.array([s2] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)),
+                     pa.array(np.ascontiguousarray(marks[:, 0])), pa.array(np.ascontiguousarray(marks[:, 1]))],
+                    ["s1", "s2", "w", "h1", "h2"],
+                )
+
+    return run
+
+
 def merge_spans(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     """Maximal runs that the spans cover."""
     out: list[list[int]] = []
@@ -170,9 +213,14 @@ def merge_spans(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, spans, kept, marks = [], [], [], []
-        for text, begins, ends in zip(*(batch.column(i) for i in (2, 3, 4))):
+        for text, begins, ends, of_words in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
             raw = text.as_py()
-            runs = merge_spans(begins.as_py(), ends.as_py())
+            begins, ends, of_words = begins.as_py(), ends.as_py(), of_words.as_py()
+            if any(of_words):
+                found = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+                begins = [int(found.starts[b]) if w else b for b, w in zip(begins, of_words)]
+                ends = [int(found.ends[e - 1]) if w else e for e, w in zip(ends, of_words)]
+            runs = merge_spans(begins, ends)
             parts, at = [], 0
             for b, e in runs:
                 parts.append(raw[at:b])
@@ -193,28 +241,11 @@ def _keys(text):
     return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2")
 
 
-def repeated_texts(
-    df: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, drop: tuple[str, ...] = ()
-) -> DataFrame:
-    """(k1, k2, n_removed, n_spans, kept_bytes, kept_sha256) of each different text that loses bytes, without ``drop``.
-
-    1. A scan cuts each text into runs of windows that share an anchor: a piece of text
-       from the first window's start to the last one's end, known by its hash.  Texts that
-       are equal are taken once, with their number.
-    2. A piece found more than once is repeated as a whole.  Of the rest only those matter
-       whose anchor some other piece has.
-    3. The bytes of one occurrence of each such piece go to the shard of its anchor, where
-       a suffix array and permuted common prefixes find the windows that pieces share.
-       Equal windows have equal anchors, so they meet there.  An anchor that more than
-       ``crowd`` different pieces have is no shard for one task: its windows are compared
-       by 128-bit hash in an aggregation instead, which spreads them over all tasks.
-    4. Windows become spans, per text they are merged, and the rest of the text is kept.
-    """
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    base = df.select(*_keys(raw), raw.alias("raw")).filter(F.octet_length("raw") >= length)
-    lists = "anchor array<long>, s1 array<long>, s2 array<long>, start array<int>, n array<int>"
-    cut = base.mapInArrow(_cut(length), f"k1 long, k2 long, {lists}")
-    names = ["anchor", "s1", "s2", "start", "n"]
+def _places(base: DataFrame, length: int, words: bool) -> DataFrame:
+    """Steps 1 and 2 of ``repeated_texts``: where the pieces that can hold a repeat of ``length`` bytes or words lie."""
+    names = ["anchor", "s1", "s2", "start", "n"] + ["at", "size"] * words
+    lists = "anchor array<long>, s1 array<long>, s2 array<long>, " + ", ".join(f"{c} array<int>" for c in names[3:])
+    cut = base.mapInArrow(_cut(length, words), f"k1 long, k2 long, {lists}")
     texts = materialize(
         cut.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in names])
     )
@@ -228,26 +259,29 @@ def repeated_texts(
     )
     places = materialize(found.drop("m").join(wanted, ["anchor", "s1", "s2"]))
     release(texts, wanted)
+    return places
 
-    candidates = places.select("k1", "k2").distinct()
-    bodies = base.groupBy("k1", "k2").agg(F.first("raw").alias("raw"))
-    bodies = materialize(bodies.join(candidates, ["k1", "k2"], "left_semi"))
-    release(candidates)
 
+def _spans(places: DataFrame, bodies: DataFrame, length: int, crowd: int, words: bool) -> DataFrame:
+    """Step 3 of ``repeated_texts``: (k1, k2, b, e, words), spans of bytes or words of the texts."""
+    at, size = ("at", "size") if words else ("start", f"n + {length} - 1")
     one = places.filter("kinds >= 2").groupBy("anchor", "s1", "s2").agg(
-        F.min(F.struct("k1", "k2", "start", "n")).alias("at"), F.first("whole").alias("whole"), F.first("kinds").alias("kinds")
-    ).select("anchor", "s1", "s2", "whole", "kinds", "at.*")
+        F.min(F.struct("k1", "k2", "start", "n", *["at", "size"] * words)).alias("first"), F.first("whole").alias("whole"), F.first("kinds").alias("kinds")
+    ).select("anchor", "s1", "s2", "whole", "kinds", "first.*")
     blobs = one.join(bodies, ["k1", "k2"]).select(
-        "anchor", "s1", "s2", "whole", "kinds", "n", F.expr(f"substring(raw, start + 1, n + {length} - 1)").alias("blob")
+        "anchor", "s1", "s2", "whole", "kinds", "n", F.expr(f"substring(raw, {at} + 1, {size})").alias("blob")
     )
     few = blobs.filter(F.col("kinds") <= crowd).select("anchor", "s1", "s2", "blob")
-    by_array = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length), "s1 long, s2 long, runs array<int>")
-    windows = (
-        blobs.filter(F.col("kinds") > crowd)
-        .select("s1", "s2", "blob", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("w"))
-        .select("s1", "s2", "w", F.expr(f"substring(blob, w + 1, {length})").alias("x"))
-        .select("s1", "s2", "w", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit("2"), "x").alias("h2"))
-    )
+    by_array = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length, words), "s1 long, s2 long, runs array<int>")
+    crowds = blobs.filter(F.col("kinds") > crowd)
+    if words:
+        windows = crowds.select("s1", "s2", "blob").mapInArrow(_word_windows(length), "s1 long, s2 long, w int, h1 long, h2 long")
+    else:
+        windows = (
+            crowds.select("s1", "s2", "blob", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("w"))
+            .select("s1", "s2", "w", F.expr(f"substring(blob, w + 1, {length})").alias("x"))
+            .select("s1", "s2", "w", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit("2"), "x").alias("h2"))
+        )
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").drop("c")
     by_hash = windows.join(twice, ["h1", "h2"]).select("s1", "s2", F.array("w", F.col("w") + 1).alias("runs"))
     runs = by_array.filter("size(runs) > 0").union(by_hash)
@@ -259,16 +293,60 @@ def repeated_texts(
         .select("k1", "k2", "start", "runs", F.explode(F.expr("sequence(0, size(runs) - 2, 2)")).alias("i"))
         .selectExpr("k1", "k2", "start + runs[i] AS b", f"start + runs[i + 1] + {length} - 1 AS e")
     )
-    spans = whole.union(part).groupBy("k1", "k2").agg(F.collect_list("b").alias("bs"), F.collect_list("e").alias("es"))
-    cut = bodies.join(spans, ["k1", "k2"]).select("k1", "k2", "raw", "bs", "es").mapInArrow(
+    return whole.union(part).withColumn("words", F.lit(words))
+
+
+def repeated_texts(
+    df: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, drop: tuple[str, ...] = (), words: int | None = None
+) -> DataFrame:
+    """(k1, k2, n_removed, n_spans, kept_bytes, kept_sha256) of each different text that loses bytes, without ``drop``.
+
+    1. A scan cuts each text into runs of windows that share an anchor: a piece of text
+       from the first window's start to the last one's end, known by its hash.  Texts that
+       are equal are taken once, with their number.
+    2. A piece found more than once is repeated as a whole.  Of the rest only those matter
+       whose anchor some other piece has.
+    3. The bytes of one occurrence of each such piece go to the shard of its anchor, where
+       a suffix array and permuted common prefixes find the windows that pieces share.
+       Equal windows have equal anchors, so they meet there.  An anchor that more than
+       ``crowd`` different pieces have is no shard for one task: its windows are compared
+       by 128-bit hash in an aggregation instead, which spreads them over all tasks.
+    4. Windows become spans, per text they are merged, and the rest of the text is kept.
+
+    With ``words``, steps 1 to 3 are done for windows of so many words as well, on the same
+    texts; step 4 merges the spans of both.
+    """
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    base = df.select(*_keys(raw), raw.alias("raw")).filter(F.octet_length("raw") >= min(length, 2 * words - 1 if words else length))
+    ways = [(length, False)] + ([(words, True)] if words else [])
+    places = [_places(base, n, of_words) for n, of_words in ways]
+
+    candidates = places[0].select("k1", "k2")
+    for other in places[1:]:
+        candidates = candidates.union(other.select("k1", "k2"))
+    candidates = candidates.distinct()
+    bodies = base.groupBy("k1", "k2").agg(F.first("raw").alias("raw"))
+    bodies = materialize(bodies.join(candidates, ["k1", "k2"], "left_semi"))
+    release(candidates)
+
+    spans = [_spans(p, bodies, n, crowd, of_words) for p, (n, of_words) in zip(places, ways)]
+    if words:
+        spans = [materialize(s) for s in spans]
+    every = spans[0]
+    for other in spans[1:]:
+        every = every.union(other)
+    every = every.groupBy("k1", "k2").agg(*[F.collect_list(c).alias(c) for c in ("b", "e", "words")])
+    cut = bodies.join(every, ["k1", "k2"]).select("k1", "k2", "raw", "b", "e", "words").mapInArrow(
         _remove, "k1 long, k2 long, n_removed long, n_spans long, kept_bytes binary, kept_sha256 string"
     )
     out = materialize(cut.drop(*drop))
-    release(places, bodies)
+    release(*places, *spans, bodies)
     return out
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, words: int | None = None
+) -> DataFrame:
     """Adds ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_bytes`` (binary) to every row of ``df``.
 
     A text is its UTF-8 bytes (null: empty).  A byte goes if a string of ``length`` bytes
@@ -276,10 +354,13 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     texts, and all is judged on the input.  Repeated rows are repeats of each other, so
     of texts as long as ``length`` nothing stays; shorter texts stay whole; an empty table
     gives an empty result.  Columns of ``df`` that bear the new names are replaced.
+
+    With ``words``, a byte goes as well if it lies in a run of so many words that also
+    starts anywhere else; white space between words may differ.
     """
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     k1, k2 = _keys(raw)
-    cut = repeated_texts(df, text_col, length, crowd, ("kept_sha256",))
+    cut = repeated_texts(df, text_col, length, crowd, ("kept_sha256",), words)
     added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     rows = df.withColumns({"__k1": k1, "__k2": k2, "__raw": raw}).drop(*added)
     cut = cut.toDF("__c1", "__c2", "__removed", "__spans", "__kept")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,6 +66,29 @@ def test_repeats_brute_force(spark, length, crowd):
     assert got == [(i, *r) for i, r in enumerate(brute_repeats([(t or "").encode() for t in texts], length))]
 
 
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_repeated_words_brute_force(spark, crowd):
+    rng = np.random.default_rng(crowd)
+    texts = []
+    for _ in range(80):
+        found = rng.choice(["a", "b", "ab", "é"], size=int(rng.integers(0, 40)))
+        texts.append("".join(w + str(rng.choice([" ", "\n", " \t"])) for w in found))
+    places = defaultdict(list)
+    for t, text in enumerate(texts):
+        found = text.split()
+        for i in range(len(found) - 6):
+            places[tuple(found[i : i + 7])].append((t, i))
+    keep = [bytearray(b"\1" * len(t.encode())) for t in texts]
+    for hits in places.values():
+        for t, i in hits if len(hits) > 1 else []:
+            at = [m.span() for m in re.finditer(rb"\S+", texts[t].encode())]
+            keep[t][at[i][0] : at[i + 6][1]] = bytes(at[i + 6][1] - at[i][0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: bytes(r["kept_bytes"]) for r in suffix_dedup.remove_repeats(df, crowd=crowd, words=7).collect()}
+    assert got == {i: bytes(x for x, y in zip(t.encode(), k) if y) for i, (t, k) in enumerate(zip(texts, keep))}
+    assert any(0 < sum(k) < len(k) for k in keep)
+
+
 def test_repeats_documents(docs):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     got = sorted(map(tuple, suffix_dedup.repeats_digest(docs).collect()))

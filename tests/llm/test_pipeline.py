@@ -55,3 +55,13 @@ def test_odd_rows(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_repeated_passage_of_51_words(spark):
+    own = lambda k, n: " ".join(f"t{k}w{i}" for i in range(n))
+    passage, short = [f"p{i}" for i in range(51)], " ".join(f"q{i}" for i in range(50))
+    assert len(" ".join(passage)) < 400
+    texts = [f"{own(1, 60)} {' '.join(passage)} {own(2, 60)}", f"{own(3, 90)}\n{'  '.join(passage)}\n{own(4, 5)}", f"{own(5, 20)} {short} {own(6, 20)}", f"{short} {own(7, 9)}"]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert left == {0: f"{own(1, 60)}  {own(2, 60)}", 1: f"{own(3, 90)}\n\n{own(4, 5)}", 2: texts[2], 3: texts[3]}
