@@ -261,6 +261,37 @@ def test_near_vectors(spark):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+@pytest.mark.parametrize("rows", [3_000, 1_000_000])
+def test_probes_hold_outside_a_hot_group(rows):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(7_000, 64))
+    hot = rng.normal(size=64) + 0.02 * rng.normal(size=(500, 64))
+    x = np.concatenate([base, hot])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books, probes = multi_index.fit_index(x, rows)
+    q = x[:1_000]
+    move = rng.normal(size=q.shape)
+    move -= (move * q).sum(1, keepdims=True) * q
+    cosine = rng.uniform(0.9, 0.96, (len(q), 1))
+    y = cosine * q + np.sqrt(1 - cosine**2) * move / np.linalg.norm(move, axis=1, keepdims=True)
+    a, b = multi_index.multi_sequence(q, books, probes), multi_index.multi_sequence(y, books, probes)
+    assert ((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean() >= 0.985
+
+
+def test_near_vectors_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=8) + 0.05 * rng.normal(size=(120, 8)), rng.normal(size=(500, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(multi_index, "LEAST_PROBES", 10_000)  # all cells: exact
+    for name, n in (("BLOCK_MEMBERS", 20), ("BLOCK_QUERIES", 50), ("GROUP_MEMBERS", 60)):
+        monkeypatch.setattr(multi_index, name, n)
+    got = multi_index.near_vectors(df).toPandas().sort_values("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= 0.9
+    np.fill_diagonal(close, False)
+    assert got.n_links.tolist() == close.sum(1).tolist()
+
+
 def test_lattice_sums_all_segmentations():
     own = lattice_lm.lattice(lattice_lm.default_vocabulary())
 
