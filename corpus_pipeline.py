@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import materialize, shared_dir
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
@@ -26,12 +26,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays; a document without an id stays."""
-    kept = near_duplicates(docs).filter("class_id IS NULL OR doc_id = class_id").select("doc_id").distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
-    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return rows
-    return rows.filter("doc_id IS NULL").union(rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """Of each class of near copies the document with the smallest id stays; a document without an id stays.
+
+    Different texts that share an id are documents of their own.
+    """
+    known = docs.filter("doc_id IS NOT NULL")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = near_duplicates(docs).filter("class_id IS NULL OR doc_id = class_id").select("doc_id").distinct()
+        return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+    rows = materialize(known.select(*COLUMNS).dropDuplicates(["doc_id", "text"]).withColumn("node", F.monotonically_increasing_id()))
+    places = rows.select("node", F.struct("doc_id", F.xxhash64("text").alias("h"), "node").alias("place"))
+    kept = near_duplicates(rows, "node").join(places, "node").groupBy("class_id").agg(F.min("place").alias("place")).select("place.node")
+    return docs.filter("doc_id IS NULL").select(*COLUMNS).union(rows.join(kept, "node", "left_semi").select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,11 @@ def test_repeated_passage_of_51_words(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
     assert left == {0: f"{own(1, 60)}  {own(2, 60)}", 1: f"{own(3, 90)}\n\n{own(4, 5)}", 2: texts[2], 3: texts[3]}
+
+
+def test_texts_that_share_an_id(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(7, text(1)), (7, text(2)), (7, text(2)), (9, text(2) + " more"), (5, text(3)), (7, text(3)), (None, text(1))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(7, text(1)), (7, text(2)), (5, text(3)), (None, text(1))], key=str)
