@@ -27,14 +27,15 @@ BLOCK_MEMBERS, BLOCK_QUERIES = 2_000, 16_000
 GROUP_MEMBERS = 8_000
 
 
-def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def normalised(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(usable, unit vectors): a vector that is null, empty, zero, or holds null or non-finite numbers is not usable.
 
-    Vectors of another length than the most common one are not usable either.
+    Vectors of another length than ``width`` (by default the most common one) are not usable either.
     """
     n = len(column)
     sizes = np.array([len(v) if v.is_valid else 0 for v in column])
-    width = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 0
+    if width is None:
+        width = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 0
     out = np.zeros((n, max(width, 1)))
     usable = sizes == width if width else np.zeros(n, dtype=bool)
     for i in np.flatnonzero(usable):
@@ -162,10 +163,8 @@ def _assign(shared):
         books, probes = shared.value
         step = max(16, (1 << 16) // probes)
         for batch in batches:
-            usable, x = normalised(batch.column(1))
+            usable, x = normalised(batch.column(1), sum(b.shape[1] for b in books))
             at = np.flatnonzero(usable)
-            if len(at) and x.shape[1] != sum(b.shape[1] for b in books):
-                at = at[:0]
             cells = np.concatenate([multi_sequence(x[at[i : i + step]], books, probes) for i in range(0, len(at), step)]) if len(at) else np.zeros((0, 1), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), pa.array(list(x[at]), pa.list_(pa.float64())), pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))],

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,12 @@ def test_vectors_odd_rows(spark):
     assert got[1] == (1, 1, True) and got[2] == (1, 1, False) and got[8] == (1, 8, True) and got[9] == (1, 8, False)
     assert all(got[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 10)) and got[None] == (0, None, False)
     assert multi_index.near_vectors(df.limit(0)).collect() == []
+
+
+def test_vectors_in_a_batch_of_another_length():
+    class Shared:
+        value = ((np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([[1.0, 0.0], [0.0, 1.0]])), 1)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([[1.0] * 3, [2.0] * 3, [1.0, 0.0, 0.0, 1.0]])], ["node", "v"])
+    (out,) = multi_index._assign(Shared)([batch])
+    assert out.column(0).to_pylist() == [3]
