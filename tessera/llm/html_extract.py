@@ -24,12 +24,16 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_MEDIA = re.compile(r"@media\b([^{};]*)\{", re.I)
+_BRACE = re.compile(r"[{}]")
+#: Media queries that hold on every screen; what hides only on some screens or in print is shown.
+_ON_SCREENS = frozenset(["", "all", "screen", "only all", "only screen", "not print"])
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _SIMPLE = re.compile(r"(?:[a-zA-Z][\w-]*)?(?:[.#][\w-]+)?\Z")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-#: Elements of which nothing is shown.
+#: Elements of which nothing is shown; the text of math and svg is left out.
 UNSEEN = frozenset(
     "head script style title meta link base template noscript noembed noframes iframe object audio video canvas svg math datalist param source track colgroup area".split()
 )
@@ -74,6 +78,24 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _for_screens(css: str) -> str:
+    """The style sheet without its ``@media`` blocks that do not hold on every screen."""
+    parts, at = [], 0
+    while found := _MEDIA.search(css, at):
+        parts.append(css[at : found.start()])
+        at = found.end()
+        if any(" ".join(q.lower().split()) in _ON_SCREENS for q in found[1].split(",")):
+            continue  # the end of the block is a brace too many, which no rule takes in
+        depth, end = 1, len(css)
+        for brace in _BRACE.finditer(css, at):
+            depth += 1 if brace[0] == "{" else -1
+            if not depth:
+                end = brace.end()
+                break
+        at = end
+    return "".join([*parts, css[at:]])
+
+
 class _Sheet:
     """The rules of style sheets that hide: display and visibility by element, class or id."""
 
@@ -81,7 +103,7 @@ class _Sheet:
         self.rules: dict[str, dict[str, str]] = {}
 
     def add(self, css: str) -> None:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
+        for selectors, body in _RULE.findall(_for_screens(re.sub(r"/\*.*?\*/", "", css, flags=re.S))):
             found = _declarations(body)
             if found:
                 for one in selectors.split(","):

@@ -373,6 +373,15 @@ def test_html_never_fails(html):
     assert isinstance(html_extract.render(html), str)
 
 
+def test_html_media_rules():
+    sheet = html_extract._Sheet()
+    sheet.add(
+        "@media print{.a{display:none} .b{display:none}} .c{display:none} @media screen, print{.d{display:none}} "
+        "@MEDIA only screen and (max-width:600px){.e{display:none}@media screen{.f{display:none}}} .g{display:none}"
+    )
+    assert sorted(sheet.rules) == [".c", ".d", ".g"]
+
+
 def test_html_deep_and_long():
     assert html_extract.render("<div>" * 50_000 + "x").strip() == "x"
     assert html_extract.render("<p>word</p>" * 20_000).count("word") == 20_000
