@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 import weakref
@@ -35,19 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own.name}"
 
 
-def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+#: Spark deletes a query's shuffle files at its end if this is set.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
     This cuts the lineage at a table that survives the loss of any executor, and
-    pins rows that later steps read more than once.  The table goes by ``release`` or
-    when the driver's process ends.
+    pins rows that later steps read more than once; the query's shuffle files go with its end.
+    The table goes by ``release`` or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
@@ -55,21 +60,16 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
-#: Where the tables of live DataFrames from ``materialize`` are.
+#: Where live tables from ``materialize`` are.
 _paths: dict[int, str] = {}
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes tables from ``materialize`` that nothing will read again, and lets Spark drop finished shuffles.
-
-    Only for tables whose every reader has itself been written to the shared folder.
-    """
+    """Deletes tables from ``materialize`` that nothing will read again: every reader has itself been written."""
     for t in tables:
         path = _paths.pop(id(t), None)
         if path:
             _remove(t.sparkSession, path)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -86,11 +86,6 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def id_key(*ids: Column) -> Column:
-    """A 64-bit hash of identifying columns, used only to deal rows out evenly."""
-    return F.xxhash64(*ids)
-
-
 def gapless(df: DataFrame, by: list[str], bucket: Column, order: list, out: str) -> DataFrame:
     """Adds ``out``: numbers from 0 without gaps within each ``by``, in order of (bucket, order).
 
@@ -117,23 +112,21 @@ def gapless(df: DataFrame, by: list[str], bucket: Column, order: list, out: str)
     )
 
 
-#: A hub has more edges than this, and this share of all.
-HUB_EDGES, HUB_SHARE = 100_000, 1 / 1000
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of undirected ``edges`` (src, dst); component: the smallest node reachable.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014): each is one
-    aggregation over the edges, the number of edges never grows, and O(log n) rounds settle.
-    A node with over ``HUB_EDGES`` edges and ``HUB_SHARE`` of all would meet its neighbours in
-    one long task; such hubs are few (2 / HUB_SHARE at most), so their minimum is broadcast to
-    the edges.  Where there are too few edges for a hub the plan goes without.
+    First every node is replaced by the least of itself and its neighbours: whoever is
+    linked still is, and of stars nothing is left.  What remains goes through the large-star
+    and small-star steps of Kiveris et al. (2014): each is one aggregation over the edges,
+    the number of edges never grows, and O(log n) rounds settle.  Minima are combined
+    before they are shuffled; the joins are of edges with one row a node, so Spark's
+    adaptive skew join splits a hub's edges.  ``edges`` is read three times: pass a written table.
     """
-    both = edges.filter("src <> dst").select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
-    )
-    now = materialize(both.distinct())
+    pairs = edges.filter("src <> dst").select("src", "dst")
+    both = pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(pairs.select(F.col("dst").alias("u"), F.col("src").alias("v")))
+    parents = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("parent")))
+    joined = pairs.join(parents.toDF("src", "a"), "src").join(parents.toDF("dst", "b"), "dst").filter("a <> b")
+    now = materialize(joined.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
     for _ in range(max_rounds):
         state = now.agg(
@@ -143,19 +136,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         last = state
         sym = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(
-            F.col("u").alias("c"), F.least("u", "m").alias("m"), "degree"
-        )
+        least = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         # large star: every larger neighbour of a node is linked to the node's minimum
-        larger = sym.filter("v > u")
-        if state["n"] <= HUB_EDGES:
-            large = larger.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            hubs = least.filter(F.col("degree") > max(HUB_EDGES, state["n"] * HUB_SHARE))
-            larger = larger.join(F.broadcast(hubs.select(F.col("c").alias("hc"), F.col("m").alias("hm"))), F.col("u") == F.col("hc"), "left")
-            large = larger.filter("hc IS NULL").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            large = large.union(larger.filter("hc IS NOT NULL").select(F.col("v").alias("u"), F.col("hm").alias("v")))
-        large = large.distinct()
+        large = sym.filter("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours are linked to the smallest of them
         floor = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         joined = large.join(floor, large.u == floor.c)
@@ -163,11 +146,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             joined.select("u", F.col("m").alias("v"))
         )
         before, now = now, materialize(small.filter("u <> v").distinct())
-        path = _paths.pop(id(before), None)
-        if path:
-            _remove(before.sparkSession, path)
+        release(before)
     else:
         raise RuntimeError("components have not settled")
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.union(roots)
+    if not state["n"]:
+        return parents.withColumnRenamed("parent", "component")
+    # settled: every edge leads to its component's least node
+    found = parents.join(now.toDF("parent", "component"), "parent", "left")
+    return found.select("node", F.coalesce("component", "parent").alias("component"))

@@ -16,8 +16,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Registers of a signature: a pair of similarity 0.8 shares no band in 3 of 100,000 cases.
 BANDS, ROWS = 20, 4
-#: Groups of texts that share buckets and are not one class after the first round: up to so many
-#: texts and shingles a task compares them in memory; larger ones go through pairs in an aggregation.
+#: What a task compares in memory: so many texts and shingles, or about so many where a larger group is cut into blocks.
 GROUP_TEXTS, GROUP_SHINGLES = 8_000, 3_000_000
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
@@ -162,41 +161,65 @@ def _own_shingles(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.sum("n").alias("own"))
 
 
-def group_links(raws: list[bytes], component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+class _Shared:
+    """How many columns rows share; ``row`` and ``column`` name each cell that is set, once.
+
+    Columns that a sixteenth of the rows have are counted by a matrix product, rarer ones
+    through lists of their rows.
+    """
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, m: int):
+        _, column, often = np.unique(column, return_inverse=True, return_counts=True)
+        common = often >= max(2, m // 16)
+        dense = common[column]
+        self.m, number = m, np.cumsum(common) - 1
+        self.table = np.zeros((m, int(common.sum())), dtype=np.float32)
+        self.table[row[dense], number[column[dense]]] = 1
+        row, column = row[~dense], column[~dense]
+        order = np.argsort(column, kind="stable")
+        self.rows, self.start = row[order], np.searchsorted(column[order], np.arange(len(often) + 1))
+        order = np.argsort(row, kind="stable")
+        self.columns, self.own = column[order], np.searchsorted(row[order], np.arange(m + 1))
+
+    def against(self, at: int, to: int) -> np.ndarray:
+        """For rows at .. to - 1 and all rows the number of columns that both have."""
+        mine = self.columns[self.own[at] : self.own[to]]
+        whose = np.repeat(np.arange(to - at), np.diff(self.own[at : to + 1]))
+        lengths = self.start[mine + 1] - self.start[mine]
+        place = np.repeat(self.start[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        rare = np.bincount(np.repeat(whose, lengths) * self.m + self.rows[place], minlength=(to - at) * self.m)
+        return rare.reshape(to - at, self.m) + self.table[at:to] @ self.table.T
+
+
+def group_links(
+    raws: list[bytes], component: np.ndarray, side: np.ndarray, buckets: list[list[int]], similarity: float
+) -> list[tuple[int, int]]:
     """Links between classes among texts: each joins two classes that no link before it has joined.
 
-    Overlaps come from counting shared shingles.  Those that a sixteenth of the texts have
-    are counted by a matrix product, rarer ones through lists of their texts.
+    Texts are compared that share a bucket (``buckets`` empty: all do) and, if some are of
+    side 1, that lie on different sides.  Overlaps come from counting shared shingles.
     """
     text, h, n = bag(*shingles(Words(*_joined(raws))))
     size = np.bincount(text, weights=n, minlength=len(raws))
     # the k-th copy of a shingle is an element of its own: shared elements are the smaller count
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     text, h = np.repeat(text, n), mix64(np.repeat(h, n) + k.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-    _, column, df = np.unique(h, return_inverse=True, return_counts=True)
-    kept = df[column] >= 2
+    _, column, often = np.unique(h, return_inverse=True, return_counts=True)
+    kept = often[column] >= 2
     text, column = text[kept], column[kept]
     rest = np.bincount(text, minlength=len(raws))
     alive = np.flatnonzero(rest >= similarity * size - 1e-9)
+    alive = alive[np.argsort(side[alive], kind="stable")]
     row = np.full(len(raws), -1)
     row[alive] = np.arange(len(alive))
     kept = row[text] >= 0
-    text, column = row[text[kept]], column[kept]
-    size, component, m = size[alive], component[alive], len(alive)
-    if m < 2:
+    size, component, side, m = size[alive], component[alive], side[alive], len(alive)
+    first = int((side == 0).sum())
+    if m < 2 or not first:
         return []
-    df = np.bincount(column, minlength=len(df))
-    common = df >= max(2, m // 16)
-    number = np.cumsum(common) - 1
-    dense = common[column]
-    table = np.zeros((m, int(common.sum())), dtype=np.float32)
-    table[text[dense], number[column[dense]]] = 1
-    order = np.argsort(column[~dense], kind="stable")
-    texts_of, columns = text[~dense][order], column[~dense][order]
-    start = np.searchsorted(columns, np.arange(len(df) + 1))
-    by_text = np.argsort(text[~dense], kind="stable")
-    own_columns = column[~dense][by_text]
-    own_start = np.searchsorted(text[~dense][by_text], np.arange(m + 1))
+    counts = _Shared(row[text[kept]], column[kept], m)
+    own = [buckets[i] for i in alive.tolist()] if buckets else []
+    met = _Shared(np.repeat(np.arange(m), [len(b) for b in own]), np.concatenate(own), m) if own else None
     root = {c: c for c in component.tolist()}
 
     def find(c: int) -> int:
@@ -206,16 +229,15 @@ def group_links(raws: list[bytes], component: np.ndarray, similarity: float) ->
         return c
 
     links, step = [], max(1, min(256, (1 << 24) // m))
-    for at in range(0, m, step):
-        to = min(m, at + step)
-        mine = own_columns[own_start[at] : own_start[to]]
-        whose = np.repeat(np.arange(to - at), np.diff(own_start[at : to + 1]))
-        lengths = start[mine + 1] - start[mine]
-        place = np.repeat(start[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        shared = np.bincount(np.repeat(whose, lengths) * m + texts_of[place], minlength=(to - at) * m).reshape(to - at, m)
-        shared = shared + (table[at:to] @ table.T)
+    for at in range(0, first, step):
+        to = min(first, at + step)
+        shared = counts.against(at, to)
         close = shared >= similarity * (size[at:to, None] + size[None, :] - shared) - 1e-6
         close &= component[at:to, None] != component[None, :]
+        if first < m:
+            close[:, :first] = False
+        if met is not None and close.any():
+            close &= met.against(at, to) > 0
         for i, j in zip(*np.nonzero(close)):
             a, b = find(int(component[at + i])), find(int(component[j]))
             if a != b:
@@ -230,32 +252,81 @@ def _joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(similarity: float):
-    """Rows (cluster, node, component, raw) come sorted by cluster."""
+    """Rows (u1, u2, i, j, side, node, component, buckets, raw) come sorted by block, the first four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, components, raws, last = [], [], [], None
+        held: list[tuple] = []
+        last = None
 
         def flush() -> pa.RecordBatch:
-            found = group_links(raws, np.array(components), similarity)
+            side, nodes, components, buckets, raws = zip(*held)
+            found = group_links(list(raws), np.array(components), np.array(side), list(buckets) if last[0] < 0 else [], similarity)
             return pa.RecordBatch.from_arrays(
                 [pa.array([nodes[a] for a, _ in found], pa.int64()), pa.array([nodes[b] for _, b in found], pa.int64())], ["src", "dst"]
             )
 
         for batch in batches:
-            for cluster, node, component, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if cluster != last and nodes:
+            for u1, u2, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (u1, u2, i, j) != last and held:
                     yield flush()
-                    nodes, components, raws = [], [], []
-                last = cluster
-                nodes.append(node)
-                components.append(component)
-                raws.append(raw)
-        if nodes:
+                    held = []
+                last = u1, u2, i, j
+                held.append(row)
+        if held:
             yield flush()
 
     return run
 
 
+def _blocks(rest: DataFrame, bodies: DataFrame, similarity: float, texts: int, shingles: int) -> DataFrame:
+    """(u1, u2, i, j, side, node, component, buckets): what ``_groups`` compares, so that all texts of a bucket meet that are of different classes.
+
+    Buckets that share texts form clusters; one that fits a task is a block (-1, cluster, 0, 0).
+    Buckets of larger clusters are cut by hash into slices, apart for the texts of the
+    class that has most; pairs of slices are blocks (band, h, i, j), but for two slices of
+    that one class.
+    """
+    low = rest.groupBy("node").agg(F.min("first").alias("low"))
+    marked = materialize(rest.join(low, "node"))
+    least = marked.groupBy("band", "h").agg(F.min("low").alias("least"))
+    met = materialize(marked.join(least, ["band", "h"]).select(F.col("low").alias("src"), F.col("least").alias("dst")).distinct())
+    clusters = connected_components(met).toDF("low", "cluster")
+    nodes = marked.groupBy("node").agg(
+        F.first("low").alias("low"), F.first("size").alias("size"), F.first("component").alias("component"),
+        F.collect_list(F.xxhash64("band", "h")).alias("buckets"),
+    )
+    nodes = materialize(nodes.join(clusters, "low", "left").withColumn("cluster", F.coalesce("cluster", "low")).drop("low"))
+    loads = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("shingles"))
+    large = loads.filter((F.col("texts") > texts) | (F.col("shingles") > shingles)).select("cluster")
+    fit = nodes.join(large, "cluster", "left_anti").select(
+        F.lit(-1).alias("u1"), F.col("cluster").alias("u2"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "node", "component", "buckets"
+    )
+    cut = materialize(nodes.join(large, "cluster", "left_semi").select("node"))
+    release(met)
+    if cut.isEmpty():
+        return fit
+    own = _own_shingles(cut, bodies)
+    members = rest.join(cut, "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    # a text with more shingles of its own than this has no near copy at all
+    members = materialize(members.filter((F.col("size") - F.col("own")) >= F.lit(similarity - 1e-9) * F.col("size")).drop("own", "first"))
+    kinds = members.groupBy("band", "h", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    need = lambda n, s: F.greatest(F.lit(1), F.ceil(n * F.lit(2 / texts)), F.ceil(s * F.lit(2 / shingles))).cast("long")
+    sizes = kinds.groupBy("band", "h").agg(F.max(F.struct("n", "s", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).select(
+        "band", "h", F.col("top.component").alias("main"), need(F.col("top.n"), F.col("top.s")).alias("mains"),
+        need(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("others"),
+    )
+    # slices 0 .. others - 1, then the main class's
+    slot = F.shiftrightunsigned(F.xxhash64(F.lit(3), "node"), 1)
+    is_main = F.col("component") == F.col("main")
+    sliced = members.join(sizes, ["band", "h"]).withColumn("slice", F.when(is_main, F.col("others") + slot % F.col("mains")).otherwise(slot % F.col("others")))
+    mates = F.sequence(F.lit(0).cast("long"), F.col("others") + F.when(is_main, F.lit(0)).otherwise(F.col("mains")) - 1)
+    dealt = sliced.withColumn("mate", F.explode(mates)).select(
+        F.col("band").alias("u1"), F.col("h").alias("u2"), F.least("slice", "mate").alias("i"), F.greatest("slice", "mate").alias("j"),
+        (F.col("slice") > F.col("mate")).cast("int").alias("side"), "node", "component", F.array().cast("array<long>").alias("buckets"),
+    )
+    return fit.union(dealt)
+
+
 def _links(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) that are similar, verified on their whole texts."""
     a, b = bodies.select(F.col("node").alias("src"), F.col("raw").alias("x")), bodies.select(F.col("node").alias("dst"), F.col("raw").alias("y"))
@@ -281,10 +352,13 @@ def near_duplicates(
     bands; texts with an equal band share a bucket.  In a bucket all texts are first
     compared with the one that shares most buckets, not with each other: as many pairs as
     texts.  Buckets whose texts are then one class are done.  Texts that share other
-    buckets form groups; a group is compared within one task, which returns at most a link
-    a text.  A group of more than ``group_texts`` texts or ``group_shingles`` shingles is
-    compared through pairs of its buckets' texts of different classes instead, so no link
-    that the bands show is lost at any size.  Every link is verified exactly.
+    buckets form groups.  Tasks compare those of a group that share a bucket and are of
+    different classes, and return at most a link a text; a group of more than
+    ``group_texts`` texts or ``group_shingles`` shingles is cut into blocks, in which the
+    same pairs meet.  So all texts that share a band are compared, at any size, unless a
+    chain of links joins them already.  Every link is verified exactly.
+
+    Texts are read whole, however long; ties need no breaking, as the result depends on the links alone.
 
     A null text counts as empty; texts without words equal only each other.  Rows with a
     null id stay alone, with a null class.  Repeated rows share a class; an empty table
@@ -318,43 +392,23 @@ def near_duplicates(
     classes = materialize(connected_components(links))
 
     # what the first round leaves: buckets with several classes, but for their pivots, who have met all
-    rest = starred.drop("dst", "size2", "popular").join(classes, "node", "left")
+    rest = starred.select("band", "h", "node", "size").join(classes, "node", "left")
     rest = materialize(rest.withColumn("component", F.coalesce("component", "node")))
     several = rest.groupBy("band", "h").agg(
         F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("node").alias("first")
     ).filter("c1 <> c2")
-    rest = materialize(rest.join(several.select("band", "h", "first"), ["band", "h"]))
-    if not rest.isEmpty():
-        touching = rest.filter("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct()
-        clusters = materialize(connected_components(touching).withColumnRenamed("component", "cluster"))
-        nodes = rest.select("node", "size", "component").distinct().join(clusters, "node")
-        loads = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("shingles"))
-        fits = (F.col("texts") <= group_texts) & (F.col("shingles") <= group_shingles)
-        nodes = materialize(nodes.join(loads.select("cluster", fits.alias("fits")), "cluster"))
-        grouped = (
-            nodes.filter("fits").join(bodies.hint("merge"), "node").select("cluster", "node", "component", "raw")
-            .repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_groups(similarity), "src long, dst long")
-        )
-        large = rest.join(nodes.filter("NOT fits").select("node"), "node")
-        own = _own_shingles(large.select("node").distinct(), bodies)
-        large = large.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        # a text with more shingles of its own than this has no near copy at all
-        large = large.filter((F.col("size") - F.col("own")) >= F.lit(similarity - 1e-9) * F.col("size"))
-        other = large.select(
-            "band", "h", F.col("node").alias("dst"), F.col("size").alias("size2"), F.col("component").alias("component2"), F.col("own").alias("own2")
+    mixed = materialize(rest.join(several.select("band", "h", "first"), ["band", "h"]))
+    release(members, rest)
+    if not mixed.isEmpty():
+        block = ["u1", "u2", "i", "j"]
+        more = materialize(
+            _blocks(mixed, bodies, similarity, group_texts, group_shingles).join(bodies.hint("merge"), "node")
+            .select(*block, "side", "node", "component", "buckets", "raw").repartition(*block).sortWithinPartitions(*block)
+            .mapInArrow(_groups(similarity), "src long, dst long")
         )
-        most = F.least(F.col("size") - F.col("own"), F.col("size2") - F.col("own2"))
-        possible = most >= F.lit(similarity - 1e-9) * (F.col("size") + F.col("size2") - most)
-        pairs = large.join(other, ["band", "h"]).filter(
-            (F.col("node") < F.col("dst")) & alike & possible & (F.col("component") != F.col("component2"))
-        ).select(F.col("node").alias("src"), "dst").distinct()
-        more = grouped
-        if not nodes.filter("NOT fits").isEmpty():
-            more = more.union(_links(pairs, bodies, similarity))
-        more = materialize(more)
         if not more.isEmpty():
-            classes = materialize(connected_components(links.union(more)))
-    release(members, bodies, rest)
+            classes = materialize(connected_components(materialize(links.union(more))))
+    release(bodies, mixed)
     own = texts.select("k1", "k2", "node").join(classes, "node", "left").select(
         "k1", "k2", F.coalesce("component", "node").alias("class_id")
     )

@@ -2,16 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 from tessera.llm.words import Words, text_chunks
 
 
-@pytest.mark.parametrize("hub_edges", [100_000, 5])
-def test_components(spark, monkeypatch, hub_edges):
-    monkeypatch.setattr(common, "HUB_EDGES", hub_edges)
+def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(1000, int(x)) for x in rng.integers(0, 60, 40)] + [(i, i + 1) for i in range(200, 230)] + [(int(a), int(b)) for a, b in rng.integers(300, 400, (40, 2))]
     root = {}

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -232,6 +233,42 @@ def test_near_duplicates(spark, group_texts):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("group_texts", [8000, 20, 3])
+def test_near_duplicates_that_share_no_band(spark, group_texts):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(500)]
+    bases = [list(rng.choice(words, 90)) for _ in range(3)]
+    rows = []
+    for i in range(90):
+        w = bases[i % 3][:]
+        for _ in range(int(rng.integers(3, 9))):
+            w[int(rng.integers(0, len(w)))] = f"edit{rng.integers(0, 9999)}"
+        rows.append((int(rng.integers(0, 1 << 40)), " ".join(w)))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows])] * 3 + [pa.array([t.encode() for _, t in rows])], ["node", "k1", "k2", "raw"])
+    bands = [set(enumerate(b)) for out in minhash._sign([batch]) for b in out.column(4).to_pylist()]
+    bags = [Counter(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    root, apart = list(range(len(rows))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = (bags[i] & bags[j]).total()
+            if shared >= 0.5 * (bags[i].total() + bags[j].total() - shared):
+                apart += not bands[i] & bands[j]
+                if bands[i] & bands[j]:
+                    root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df, similarity=0.5, group_texts=group_texts).collect()}
+    assert got == {doc: least[find(i)] for i, (doc, _) in enumerate(rows)} and apart
+
+
 def test_near_duplicates_documents(docs):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()} == brute_classes(rows)
