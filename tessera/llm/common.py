@@ -53,7 +53,7 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)
@@ -69,10 +69,11 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         path = _paths.pop(id(t), None)
         if path:
-            _remove(t.sparkSession, path)
+            remove(t.sparkSession, path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -86,6 +87,18 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns that begin with two underscores under names that nothing here uses, and the old names' new ones."""
+    mark = uuid.uuid4().hex
+    names = {c: f"own_{mark}_{i}" for i, c in enumerate(df.columns) if c.startswith("__")}
+    return df.withColumnsRenamed(names) if names else df, names
+
+
+def put_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Gives the columns of ``set_aside`` their names again."""
+    return df.withColumnsRenamed({new: old for old, new in names.items()}) if names else df
+
+
 def gapless(df: DataFrame, by: list[str], bucket: Column, order: list, out: str) -> DataFrame:
     """Adds ``out``: numbers from 0 without gaps within each ``by``, in order of (bucket, order).
 

@@ -8,15 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import gapless
+from tessera.llm.common import put_back, set_aside
 
 #: Below so many sources their table (some hundred bytes a row) is broadcast; beyond, it is joined with salt.
 BROADCAST_SOURCES = 20_000
 SALTS = 32
-#: The global order is cut by the leading bits of the shuffle key into at most so many ranges.
-MAX_RANGES = 1 << 16
-ROWS_PER_RANGE = 50_000
+#: The global order is cut by the leading bits of the shuffle key into ranges of about so many rows, a task each, so many at least and at most.
+ROWS_PER_RANGE, LEAST_RANGES, MAX_RANGES = 32_768, 16, 1 << 18
 
 
 def _hex_digits(seed: str, digits: int, *parts: Column) -> Column:
@@ -83,12 +83,17 @@ def mix_sources(
     a weight gets no rows.  The count is the inverse of the Poisson distribution at a
     uniform number hashed from the seed and the id: the same id always gets the same
     count, on any cluster.  Adds ``replica`` (from 0) and ``position`` (the place in the
-    global order, gapless from 0), and returns partitions in that order.
+    global order, gapless from 0), and returns partitions and their rows in that order.
+
+    Each row is moved once, to the task of its range of keys, which sorts it; the ranges'
+    sizes, counted without the other columns, say where each range's positions begin.
 
     A null source is a source of its own; a null id hashes as the word null; repeated rows
-    are replicated each; an empty table gives an empty result.  Columns of ``df`` named
-    replica or position are replaced; names that begin with two underscores are kept for use here.
+    are replicated each, and among replicas with one id the order is open; texts are moved
+    whole; an empty table gives an empty result.  Columns of ``df`` named replica or position are replaced.
     """
+    df, own = set_aside(df.drop("replica", "position"))
+    source_col, id_col = own.get(source_col, source_col), own.get(id_col, id_col)
     rates = source_rates(df, source_col, weights, total, temper)
     n_rows = rates.n_rows if total is None else total
     u = uniform(seed, F.col(id_col))
@@ -106,11 +111,18 @@ def mix_sources(
         .drop("__copies")
         .withColumn("__key", _hex_digits(f"s{seed}", 15, F.col(id_col), F.col("replica")))
     )
-    ranges = 1
-    while ranges < MAX_RANGES and ranges * ROWS_PER_RANGE < n_rows or ranges < 64:
+    ranges = LEAST_RANGES
+    while ranges < MAX_RANGES and ranges * ROWS_PER_RANGE < n_rows:
         ranges *= 2
-    bucket = F.shiftright("__key", 60 - ranges.bit_length() + 1)
-    return gapless(rows, [], bucket, ["__key", id_col, "replica"], "position").drop("__key")
+    bucket = F.shiftright("__key", 60 - ranges.bit_length() + 1).cast("int")
+    sizes = rows.groupBy(bucket.alias("__range")).agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__at"))
+    # the partition's number is the range: the sort's order gives the places in it
+    ordered = rows.repartitionById(ranges, bucket).sortWithinPartitions("__key", id_col, "replica").withColumn("__i", F.monotonically_increasing_id())
+    placed = ordered.join(F.broadcast(starts), F.shiftright("__i", 33) == F.col("__range"))
+    placed = placed.withColumn("position", F.col("__at") + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)))
+    return put_back(placed.drop("__key", "__i", "__range", "__at"), own)
 
 
 def mix_sql(seed: int = 17, temper: float = 0.5) -> str:

@@ -89,9 +89,51 @@ def test_vectors_odd_rows(spark):
     assert multi_index.near_vectors(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_vectors_of_several_lengths(spark, partitions):
+    rng = np.random.default_rng(6)
+    rows = []
+    for width, n in ((4, 30), (1, 8), (2, 25), (9, 3)):
+        centre = rng.normal(size=width)
+        rows += [(len(rows) + i, (centre + 0.2 * rng.normal(size=width)).tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(partitions)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.near_vectors(df).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    links = [[j for j in range(len(rows)) if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9] for i in range(len(rows))]
+    least = list(range(len(rows)))
+    for _ in rows:
+        least = [min([least[i], *(least[j] for j in links[i])]) for i in range(len(rows))]
+    assert got == {i: (len(links[i]), least[i]) for i in range(len(rows))}
+
+
+def test_vectors_few_of_which_are_usable(spark):
+    rows = [(i, [float("nan"), 1.0]) for i in range(3000)] + [(5000 + i, [1.0, 0.001 * i]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.near_vectors(df, sample_rows=100).toPandas()
+    assert got.n_links.sum() == 20 and got[got.n_links > 0].component_id.eq(5000).all()
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["__words", "__text", "__html", "__k1", "__raw", "__key", "__source", "__i", "__range"]
+    df = spark.createDataFrame([(1, "some words of a text " * 40, "a"), (2, None, None)], "doc_id long, text string, source string")
+    df = df.withColumns({c: F.lit(c) for c in names})
+    for operator in (quality_rules.quality_rules, quality_classifier.classify_quality, suffix_dedup.remove_repeats, lambda d: mixing.mix_sources(d, total=20),
+                     lambda d: html_extract.extract_html(d.withColumn("html", F.col("text")))):
+        got = operator(df).collect()
+        assert got and all(r[c] == c for r in got for c in names)
+
+
+def test_hot_text_without_ids_is_split(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, "hot text " * 20) for i in range(3000)] + [(i, f"own {i} " * 9) for i in range(3000)], "doc_id long, text string")
+    got = sharding.shard_documents(df).toPandas()
+    rows = got.groupby("shard").size()
+    assert len(rows) == 24 and rows.max() < 1.1 * rows.mean()
+    assert all(sorted(p.slot) == list(range(len(p))) for _, p in got.groupby("shard"))
+
+
 def test_vectors_in_a_batch_of_another_length():
     class Shared:
-        value = ((np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([[1.0, 0.0], [0.0, 1.0]])), 1)
+        value = ((np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([[1.0, 0.0], [0.0, 1.0]])), 1, 4)
 
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([[1.0] * 3, [2.0] * 3, [1.0, 0.0, 0.0, 1.0]])], ["node", "v"])
     (out,) = multi_index._assign(Shared)([batch])

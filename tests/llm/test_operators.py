@@ -90,6 +90,15 @@ def test_repeated_words_brute_force(spark, crowd):
     assert any(0 < sum(k) < len(k) for k in keep)
 
 
+def test_repeats_of_long_constant_texts(spark):
+    texts = ["x" * 3_000_000, "ab" * 5_000 + "c" + "ab" * 100, "y" * 399, "yx" + "z" * 401, "q" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.repeats_digest(df).collect()}
+    assert got == {0: (3_000_000, 3_000_000, 1), 1: (10_201, 10_000, 1), 2: (399, 0, 0), 3: (403, 401, 1), 4: (400, 0, 0)}
+    pieces = suffix_dedup.anchors(np.frombuffer(texts[0].encode(), dtype=np.uint8), np.array([0, len(texts[0])]), 400)
+    assert len(pieces[0]) < 1_000
+
+
 def test_repeats_documents(docs):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     got = sorted(map(tuple, suffix_dedup.repeats_digest(docs).collect()))
@@ -180,6 +189,20 @@ def test_mixing_rates(docs):
     assert got[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
 
 
+def test_mixing_comes_in_order(spark):
+    df = spark.range(5_000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "concat('t', id) AS text").repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for on in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", on)
+            got = mixing.mix_sources(df)
+            assert [r["position"] for r in got.collect()] == list(range(got.count()))
+            texts = mixing.mix_sources(df).select("text").collect()
+            assert texts == got.select("text").collect() == [(r["text"],) for r in got.orderBy("position").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_poisson_inverse(spark):
     df = spark.range(20_000).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "'a' AS source", "'t' AS text")
     counts = mixing.mix_sources(df, total=50_000).groupBy("doc_id").count().toPandas()["count"]
@@ -346,6 +369,47 @@ def test_lattice_sums_all_segmentations():
         assert own._long(b" " + w, own.scores) == pytest.approx(value)
 
 
+def test_long_words_like_short_ones():
+    own = lattice_lm.lattice(lattice_lm.default_vocabulary())
+    words = [b"the", b"thingthething", "über".encode() * 3, b"-" * 40, b"zzq"]
+    blocks = list(own.by_length(words))
+    expected = sum(own.expected(own.arcs(b), *b.shape, own.scores, np.full(len(b), 2.0)) for _, b in blocks)
+    total = np.zeros(len(own.scores))
+    for w in words:
+        own._long_expected(b" " + w, own.scores.tolist(), 2.0, total)
+    assert np.allclose(total, expected) and np.allclose(own.likelihood(words, own.scores), [own._long(b" " + w, own.scores) for w in words])
+    long = b"word" * 50_000
+    assert np.isfinite(own.likelihood([long], own.scores)[0]) and own.counts([long], np.ones(1), own.scores).sum() > 50_000
+
+
+def test_score_of_each_text(docs):
+    """``score`` from its parts: pieces refitted as the operator does, whole words by their counts, segmentations one by one."""
+    got = lattice_lm.score_texts(docs.limit(60)).toPandas().set_index("doc_id")
+    rows = {r["doc_id"]: lattice_lm.tokens(r["text"]) for r in docs.limit(60).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in rows}
+    train = Counter(w for i, t in rows.items() if not held[i] for w in t)
+    own, ends = lattice_lm.lattice(lattice_lm.default_vocabulary()), sum(not h for h in held.values())
+    words, logp = sorted(train), own.scores
+    assert len(words) < lattice_lm.WARM_WORDS
+    for k in range(lattice_lm.WARM_ROUNDS + 1):
+        seen = [w for w in words if len(w) <= lattice_lm.LONG_WORD] if k < lattice_lm.WARM_ROUNDS else words
+        smooth = own.counts(seen, np.ones(len(seen)), logp) + lattice_lm.SMOOTH
+        logp = np.log(smooth / smooth.sum())
+    n, often = sum(train.values()) + ends, Counter(train.values())
+    discount = (often[1] + 1) / (often[1] + 2 * often[2] + 2)
+
+    def chance(w):
+        alpha = [1.0]
+        for j in range(1, len(w) + 2):
+            alpha.append(sum(alpha[i] * math.exp(logp[own.number[part]]) for i in range(j) if (part := (b" " + w)[i:j]) in own.number))
+        return max(train[w] - discount, 0) / n + discount * len(train) / n * alpha[-1]
+
+    for i in list(rows)[:12]:
+        want = math.log10(ends / n) + sum(math.log10(chance(w)) for w in rows[i] if len(w) <= 40)
+        rest = sum(math.log10(max(train[w] - discount, 0) / n + discount * len(train) / n * math.exp(own.likelihood([w], logp)[0])) for w in rows[i] if len(w) > 40)
+        assert got.score[i] == pytest.approx(want + rest, rel=1e-9)
+
+
 def test_lm_base_and_held_out(docs, monkeypatch):
     monkeypatch.setattr(lattice_lm, "FREQUENT_WORDS", 50)
     got = lattice_lm.score_texts(docs).toPandas().sort_values("doc_id")
@@ -396,6 +460,8 @@ PAGES = {
     "<head><title>t</title></head><body>shown": "shown",
     "<textarea>\nraw <b></textarea>": "raw <b>",
     "": "",
+    "<svg><title>no</title><defs><text>no</text></defs><text>seen</text><text>in svg</text></svg> <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>": "seen in svg x=2",
+    "<input value='typed'><input placeholder=hint><input type=hidden value=no><input type=checkbox value=no><input type=submit value=Go>": "typed hint Go",
 }
 
 

@@ -34,8 +34,6 @@ def test_stages(steps):
 def test_repeats_are_gone(steps):
     rows = [r["text"].encode() for r in steps[2][1].collect()]
     seen = Counter(b[i : i + 400] for b in rows for i in range(len(b) - 399))
-    for b, r in zip(sorted(rows), sorted(r["text"].encode() for r in steps[2][2].collect())):
-        pass
     left = [r["text"].encode() for r in steps[2][2].collect()]
     repeated = {k for k, n in seen.items() if n > 1}
     whole = {b for b in left if any(b[i : i + 400] in repeated for i in range(len(b) - 399))}
@@ -53,8 +51,19 @@ def test_odd_rows(spark):
 
 
 def test_run(spark):
+    import os
+
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+    folder = os.path.dirname(os.path.dirname(out.inputFiles()[0].removeprefix("file://")))
+    assert os.listdir(folder) == [str(len(corpus_pipeline.STAGES) - 1)]
+
+
+def test_mixed_documents_lie_in_order(spark, steps):
+    from tessera.llm.mixing import mix_sources
+
+    before, after = steps[3][1], corpus_pipeline.mixing(spark, steps[3][1], "")
+    assert [r["doc_id"] for r in after.collect()] == [r["doc_id"] for r in mix_sources(before).orderBy("position").collect()]
 
 
 def test_repeated_passage_of_51_words(spark):
