@@ -27,23 +27,21 @@ BLOCK_MEMBERS, BLOCK_QUERIES = 2_000, 16_000
 GROUP_MEMBERS = 8_000
 
 
-def normalised(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(usable, unit vectors): a vector that is null, empty, zero, or holds null or non-finite numbers is not usable.
+def normalised(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(usable, unit vectors): a vector that is null, zero, of another length, or holds null or non-finite numbers is not usable.
 
-    Vectors of another length than ``width`` (by default the most common one) are not usable either.
+    Vectors of one number get a zero beside it, so that there are two halves.
     """
     n = len(column)
     sizes = np.array([len(v) if v.is_valid else 0 for v in column])
-    if width is None:
-        width = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 0
-    out = np.zeros((n, max(width, 1)))
-    usable = sizes == width if width else np.zeros(n, dtype=bool)
+    out = np.zeros((n, max(width, 2)))
+    usable = sizes == width
     for i in np.flatnonzero(usable):
         value = column[int(i)].values
         if value.null_count:
             usable[i] = False
         else:
-            out[i] = value.to_numpy(zero_copy_only=False)
+            out[i, :width] = value.to_numpy(zero_copy_only=False)
     usable &= np.isfinite(out).all(axis=1)
     out[~usable] = 0
     peak = np.abs(out).max(axis=1, keepdims=True)  # scaled first: squares must not overflow
@@ -160,10 +158,10 @@ def fit_index(x: np.ndarray, rows: float, cosine: float = COSINE, seed: int = 9)
 
 def _assign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, probes = shared.value
+        books, probes, width = shared.value
         step = max(16, (1 << 16) // probes)
         for batch in batches:
-            usable, x = normalised(batch.column(1), sum(b.shape[1] for b in books))
+            usable, x = normalised(batch.column(1), width)
             at = np.flatnonzero(usable)
             cells = np.concatenate([multi_sequence(x[at[i : i + step]], books, probes) for i in range(0, len(at), step)]) if len(at) else np.zeros((0, 1), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -350,24 +348,53 @@ def near_vectors(
     crowded cells and their queries are cut into blocks of bounded size; a block counts links in memory and returns counts and a
     spanning forest, so a cell of close vectors costs no row a pair.
 
-    Vectors that are null, empty, zero, of another length, or hold null or non-finite
-    numbers link with nothing: no links, their own component, kept.  A row with a null id
-    likewise, with a null component.  Ids identify vectors: rows that repeat an id are one
-    vector (the first).  An empty table gives an empty result; other columns are not read.
+    Vectors of each length have an index of their own and link only with each other.
+    Vectors that are null, empty, zero, or hold null or non-finite numbers link with
+    nothing: no links, their own component, kept.  A row with a null id likewise, with a
+    null component.  Ids identify vectors: rows that repeat an id are one vector (the least
+    that is not null).  A cosine of ``cosine`` itself links.  An empty table gives an empty result; other columns are not read.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("node"), F.col(vector_col).cast("array<double>").alias("v"))
-    known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("v").alias("v"))
-    total = rows.count()
-    share = min(1.0, sample_rows / max(1, total))
-    sample = known.filter(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).toArrow()
-    usable, x = normalised(sample.column(1).combine_chunks())
-    if not usable.any():
+    known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("v").alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    usable = known.filter(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    # as many rounds as there are lengths: one, in tables of one model's vectors
+    widths = sorted(rows.filter("node IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("w")).count().collect())
+    tables = [_links(usable.filter(F.size("v") == r["w"]), r["w"], r["count"], cosine, sample_rows) for r in widths]
+    tables = [t for t in tables if t is not None]
+    if not tables:
         return rows.select(
             F.col("node").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("node").alias("component_id"), F.col("node").isNotNull().alias("kept")
         )
-    fitted = fit_index(x[usable], total, cosine)
-    shared = spark.sparkContext.broadcast(fitted)
+    found = tables[0]
+    for t in tables[1:]:
+        found = found.union(t)
+    counts = found.filter("other IS NULL").groupBy("node").agg(F.sum("n").alias("n_links"))
+    parts = connected_components(found.filter("other IS NOT NULL").select(F.col("node").alias("src"), F.col("other").alias("dst")))
+    out = rows.select("node").join(counts, "node", "left").join(parts, "node", "left")
+    component = F.coalesce("component", "node")
+    return out.select(
+        F.col("node").alias(id_col),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("node"), F.lit(False)).alias("kept"),
+    )
+
+
+def _links(known: DataFrame, width: int, total: int, cosine: float, sample_rows: int) -> DataFrame | None:
+    """(node, other, n) of ``_compare`` for usable vectors of one length, about ``total`` of them; None if there are none."""
+    spark = known.sparkSession
+    share = min(1.0, sample_rows / max(1, total))
+    sample = known.filter(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).toArrow()
+    if share < 1 and sample.num_rows < sample_rows // 4:  # most vectors are not usable: as good a sample of the rest
+        total = known.count()
+        share = min(1.0, sample_rows / max(1, total))
+        sample = known.filter(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).toArrow()
+    if not sample.num_rows:
+        return None
+    x = normalised(sample.column(1).combine_chunks(), width)[1]
+    fitted = fit_index(x, total, cosine)
+    shared = spark.sparkContext.broadcast((*fitted, width))
     indexed = materialize(known.mapInArrow(_assign(shared), "node long, x array<double>, cells array<int>"))
 
     # at most one row a cell of the grid
@@ -377,18 +404,8 @@ def near_vectors(
     qs = np.ones(len(ms), dtype=np.int64)
     qs[visits.column(0).to_numpy()] = -(-visits.column(1).to_numpy() // BLOCK_QUERIES)
     dealt = _deal(spark.sparkContext.broadcast((of, ms, qs)))
-    found = materialize(
+    return materialize(
         indexed.mapInArrow(dealt, "block long, node long, x array<double>, own int, cells array<int>, query boolean")
         .repartition("block").sortWithinPartitions("block")
         .mapInArrow(_compare(cosine), "node long, other long, n long")
     )
-    counts = found.filter("other IS NULL").groupBy("node").agg(F.sum("n").alias("n_links"))
-    parts = connected_components(found.filter("other IS NOT NULL").select(F.col("node").alias("src"), F.col("other").alias("dst")))
-    out = rows.select("node").join(counts, "node", "left").join(parts, "node", "left")
-    component = F.coalesce("component", "node")
-    return out.select(
-        F.col("node").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("node"), F.lit(False)).alias("kept"),
-    )
