@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, release
+from tessera.llm.common import materialize, put_back, release, set_aside
 from tessera.llm.suffix_array import permuted_lcp, suffix_array
 from tessera.llm.words import _RANDOM, Words, mix64, text_chunks
 
@@ -20,6 +20,8 @@ GRAM = 64
 #: A shard's suffix array covers about so many bytes; groups of more pieces take the exact way for crowds.
 SHARD_BYTES = 250_000
 CROWD = 1_000
+#: Windows of a piece at most.
+MOST_WINDOWS = 4_096
 _POSITION_BITS = np.uint64(31)
 
 
@@ -34,13 +36,14 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int):
     """Cuts the windows of ``length`` symbols within texts into runs that share an anchor.
 
     ``data`` has the texts' bytes, or 64-bit hashes of their words.  A window's anchor is the gram of least hash in it (the first of equals), so equal
-    windows have equal anchors wherever they occur.  Returns arrays (text, start in the
-    text, number of windows, the anchor's hash).
+    windows have equal anchors wherever they occur.  A run goes on where the same gram comes
+    again, up to ``MOST_WINDOWS``.  Returns arrays (text, start in the
+    text, number of windows, the anchor's hash, whether it lies in the run more than once).
     """
     gram, n = _gram(length), len(data)
     none = np.zeros(0, dtype=np.int64)
     if n < length:
-        return none, none, none, none
+        return none, none, none, none, none.astype(bool)
     h, step, power = _RANDOM[data] if data.dtype == np.uint8 else data, 1, np.uint64(0x9E3779B97F4A7C15)
     while step < gram:
         h = h[:-step] * power + h[step:]
@@ -60,8 +63,9 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int):
 
     sizes = np.diff(bounds)
     fits = np.maximum(sizes - length + 1, 0)
+    anchor = h[place]
     fresh = np.ones(windows, dtype=bool)
-    fresh[1:] = place[1:] != place[:-1]
+    fresh[1:] = anchor[1:] != anchor[:-1]
     fresh[bounds[:-1][fits > 0]] = True
     valid = np.zeros(windows, dtype=bool)
     change = np.zeros(windows + 1, dtype=np.int64)
@@ -70,16 +74,21 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int):
     valid = np.cumsum(change[:-1]) > 0
     starts = np.flatnonzero(fresh & valid)
     if not len(starts):
-        return none, none, none, none
+        return none, none, none, none, none.astype(bool)
     text = np.searchsorted(bounds, starts, side="right") - 1
     stops = np.append(starts[1:], windows)
     stops = np.minimum(stops, bounds[text] + fits[text])
-    return text, starts - bounds[text], stops - starts, h[place[starts]].view(np.int64)
+    # long runs, as of one symbol over and over, are cut into equal parts
+    parts = -(-(stops - starts) // MOST_WINDOWS)
+    text, ends = np.repeat(text, parts), np.repeat(stops, parts)
+    starts = np.repeat(starts, parts) + MOST_WINDOWS * (np.arange(len(ends)) - np.repeat(np.cumsum(parts) - parts, parts))
+    n = np.minimum(ends - starts, MOST_WINDOWS)
+    return text, starts - bounds[text], n, anchor[starts].view(np.int64), place[starts] != place[starts + n - 1]
 
 
 def _cut(length: int, words: bool = False):
     """Pieces of each text; of words also their place ``at`` and ``size`` in bytes, and marks that white space does not change."""
-    fields = ["k1", "k2", "anchor", "s1", "s2", "start", "n"] + ["at", "size"] * words
+    fields = ["k1", "k2", "anchor", "s1", "s2", "start", "n", "again"] + ["at", "size"] * words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,18 +96,18 @@ def _cut(length: int, words: bool = False):
                 raw = data.tobytes()
                 if words:
                     found = Words(data, bounds)
-                    text, start, n, anchor = anchors(found.hashes(), found.first, length)
+                    text, start, n, anchor, again = anchors(found.hashes(), found.first, length)
                     first = found.first[text] + start
                     at, to = found.starts[first], found.ends[first + n + length - 2]
                     bodies = [b" ".join(raw[x:y].split()) for x, y in zip(at.tolist(), to.tolist())]
                 else:
-                    text, start, n, anchor = anchors(data, bounds, length)
+                    text, start, n, anchor, again = anchors(data, bounds, length)
                     at = bounds[text] + start
                     bodies = [raw[x:y] for x, y in zip(at.tolist(), (at + n + length - 1).tolist())]
                 marks = b"".join([blake2b(body, digest_size=16).digest() for body in bodies])
                 marks = np.frombuffer(marks, dtype=np.int64).reshape(-1, 2)
                 per = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=b - a)))).astype(np.int32)
-                lists = [anchor, marks[:, 0], marks[:, 1], start.astype(np.int32), n.astype(np.int32)]
+                lists = [anchor, marks[:, 0], marks[:, 1], start.astype(np.int32), n.astype(np.int32), again.astype(np.int32)]
                 if words:
                     lists += [(at - bounds[text]).astype(np.int32), (to - at).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(
@@ -243,21 +252,21 @@ def _keys(text):
 
 def _places(base: DataFrame, length: int, words: bool) -> DataFrame:
     """Steps 1 and 2 of ``repeated_texts``: where the pieces that can hold a repeat of ``length`` bytes or words lie."""
-    names = ["anchor", "s1", "s2", "start", "n"] + ["at", "size"] * words
+    names = ["anchor", "s1", "s2", "start", "n", "again"] + ["at", "size"] * words
     lists = "anchor array<long>, s1 array<long>, s2 array<long>, " + ", ".join(f"{c} array<int>" for c in names[3:])
     cut = base.mapInArrow(_cut(length, words), f"k1 long, k2 long, {lists}")
     texts = materialize(
         cut.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in names])
     )
     found = texts.select("k1", "k2", "m", F.inline(F.arrays_zip(*names)))
-    pieces = found.groupBy("anchor", "s1", "s2").agg(F.sum("m").alias("times"))
+    pieces = found.groupBy("anchor", "s1", "s2").agg(F.sum("m").alias("times"), F.max("again").alias("again"))
     shared = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds >= 2")
     wanted = materialize(
         pieces.join(shared, "anchor", "left")
-        .filter("times >= 2 OR kinds >= 2")
-        .select("anchor", "s1", "s2", (F.col("times") >= 2).alias("whole"), F.coalesce("kinds", F.lit(1)).alias("kinds"))
+        .filter("times >= 2 OR kinds >= 2 OR again = 1")
+        .select("anchor", "s1", "s2", (F.col("times") >= 2).alias("whole"), F.coalesce("kinds", F.lit(1) + F.col("again")).alias("kinds"))
     )
-    places = materialize(found.drop("m").join(wanted, ["anchor", "s1", "s2"]))
+    places = materialize(found.drop("m", "again").join(wanted, ["anchor", "s1", "s2"]))
     release(texts, wanted)
     return places
 
@@ -305,7 +314,7 @@ def repeated_texts(
        from the first window's start to the last one's end, known by its hash.  Texts that
        are equal are taken once, with their number.
     2. A piece found more than once is repeated as a whole.  Of the rest only those matter
-       whose anchor some other piece has.
+       whose anchor some other piece has, or that have it more than once.
     3. The bytes of one occurrence of each such piece go to the shard of its anchor, where
        a suffix array and permuted common prefixes find the windows that pieces share.
        Equal windows have equal anchors, so they meet there.  An anchor that more than
@@ -324,10 +333,8 @@ def repeated_texts(
     candidates = places[0].select("k1", "k2")
     for other in places[1:]:
         candidates = candidates.union(other.select("k1", "k2"))
-    candidates = candidates.distinct()
     bodies = base.groupBy("k1", "k2").agg(F.first("raw").alias("raw"))
-    bodies = materialize(bodies.join(candidates, ["k1", "k2"], "left_semi"))
-    release(candidates)
+    bodies = materialize(bodies.join(candidates.distinct(), ["k1", "k2"], "left_semi"))
 
     spans = [_spans(p, bodies, n, crowd, of_words) for p, (n, of_words) in zip(places, ways)]
     if words:
@@ -351,27 +358,31 @@ def remove_repeats(
 
     A text is its UTF-8 bytes (null: empty).  A byte goes if a string of ``length`` bytes
     that covers it also starts anywhere else, the same text included; matches never cross
-    texts, and all is judged on the input.  Repeated rows are repeats of each other, so
+    texts, and all is judged on the input, of texts of any length.  Of equal strings none is
+    kept.  Repeated rows are repeats of each other, so
     of texts as long as ``length`` nothing stays; shorter texts stay whole; an empty table
     gives an empty result.  Columns of ``df`` that bear the new names are replaced.
 
     With ``words``, a byte goes as well if it lies in a run of so many words that also
     starts anywhere else; white space between words may differ.
     """
+    df, own = set_aside(df)
+    text_col = own.get(text_col, text_col)
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     k1, k2 = _keys(raw)
     cut = repeated_texts(df, text_col, length, crowd, ("kept_sha256",), words)
     added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
-    rows = df.withColumns({"__k1": k1, "__k2": k2, "__raw": raw}).drop(*added)
+    rows = df.drop(*added).withColumns({"__k1": k1, "__k2": k2, "__raw": raw})
     cut = cut.toDF("__c1", "__c2", "__removed", "__spans", "__kept")
     joined = rows.join(cut, (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2")), "left")
-    return joined.select(
+    out = joined.select(
         *[c for c in df.columns if c not in added],
         F.octet_length("__raw").cast("long").alias("n_bytes"),
         F.coalesce("__removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("__spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("__kept", "__raw").alias("kept_bytes"),
     )
+    return put_back(out, own)
 
 
 def repeats_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
