@@ -13,7 +13,7 @@ from tessera.llm.common import WORD, gapless, materialize, text_key
 
 #: A group of equal texts is split if it holds more of a shard than this in any measure.
 SPLIT_SHARE = 0.5
-#: Into so many pieces, by a hash of the id.
+#: Into so many pieces, by a hash of the row's number.
 PIECES = 64
 #: Groups that one bucket packs, and the most buckets; a bucket is packed as a stream, so its size is not bounded.
 GROUPS_PER_BUCKET = 2_000
@@ -61,13 +61,15 @@ def shard_documents(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     ``grown_shard`` (null under the law ``bytes``).
 
     Equal texts form a group, which is placed as one item; a group of more than half a
-    shard in any measure cannot be and is split by a hash of the id.  Placing is done on
+    shard in any measure cannot be and is split by a hash of its rows' numbers, whatever their
+    ids.  Placing is done on
     two levels.  Groups are dealt to buckets by their hash; each bucket streams its groups,
     largest first, into several bundles a shard, choosing the one where the dot product of
     the group and the residual capacity is highest.  The driver then places the bundles
     (buckets x bundles of them) and the few groups too large for a bucket the same way.
 
     A null text counts as empty (size 8); null ids and repeated rows are rows like others;
+    ties go to the first of equal shards; texts of any length are measured whole;
     an empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("string")
@@ -78,9 +80,11 @@ def shard_documents(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
             text_key(text).alias("g"),
-            F.pmod(F.xxhash64(id_col), F.lit(PIECES)).cast("int").alias("salt"),
+            F.monotonically_increasing_id().alias("rid"),
         )
     )
+    salt = F.pmod(F.xxhash64("rid"), F.lit(PIECES)).cast("int")
+    base = base.withColumn("salt", salt)  # the written rows keep their numbers
     measured = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     totals = base.agg(*measured).first()
     n_rows = int(totals["rows"])
@@ -127,13 +131,13 @@ def shard_documents(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
         .union(spark.createDataFrame(large_at, "g binary, piece int, shard int"))
     )
     rows = base.join(hot, "g", "left").withColumn("piece", F.when(F.col("hot"), F.col("salt")).otherwise(F.lit(-1)))
-    sharded = rows.join(placed, ["g", "piece"]).select("__id", "size", "text_crc32", "tokens", "shard")
+    sharded = rows.join(placed, ["g", "piece"]).select("__id", "size", "text_crc32", "tokens", "shard", "rid")
     per_slot = min(MAX_SLOT_BUCKETS, max(8, -(-n_rows // (n_shards * ROWS_PER_SLOT_BUCKET))))
     slotted = gapless(
         sharded,
         ["shard"],
-        F.pmod(F.xxhash64(F.lit(7), "__id", "text_crc32"), F.lit(per_slot)),
-        ["__id", "text_crc32", "size"],
+        F.pmod(F.xxhash64(F.lit(7), "rid"), F.lit(per_slot)),
+        ["rid"],
         "slot",
     )
     return slotted.select(
