@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,10 +34,14 @@ _SIMPLE = re.compile(r"(?:[a-zA-Z][\w-]*)?(?:[.#][\w-]+)?\Z")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-#: Elements of which nothing is shown; the text of math and svg is left out.
+#: Elements of which nothing is shown.
 UNSEEN = frozenset(
-    "head script style title meta link base template noscript noembed noframes iframe object audio video canvas svg math datalist param source track colgroup area".split()
+    "head script style title meta link base template noscript noembed noframes iframe object audio video canvas datalist param source track colgroup area".split()
 )
+#: In svg and math, nothing is shown of these either.
+_UNSEEN_DRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient annotation annotation-xml".split())
+#: Inputs that show their value or else their placeholder.
+_SHOWN_INPUTS = frozenset(["", "text", "search", "tel", "url", "email", "number", "submit", "button", "reset"])
 BLOCK = frozenset(
     "address article aside body blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption listing xmp search".split()
@@ -225,7 +230,7 @@ def build(html: str) -> Node:
             if not _gone(tag, attrs, sheet):
                 stack[-1].children.append(node)
             continue
-        if _gone(tag, attrs, sheet):
+        if _gone(tag, attrs, sheet) or tag in _UNSEEN_DRAWN and any(n.tag in ("svg", "math") for n in stack):
             stack.append(node)  # takes its content, but hangs on nothing
         else:
             _push(stack, node)
@@ -292,8 +297,12 @@ def _walk(node: Node, flow: _Flow) -> None:
             flow.end_line()
             flow.put(["---"], True)
         elif tag == "input":
-            if child.seen and child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
-                flow.text(f" {child.attrs.get('value', '')} ")
+            if child.seen and not closed and child.attrs.get("type", "").lower() in _SHOWN_INPUTS:
+                flow.text(f" {child.attrs.get('value') or child.attrs.get('placeholder', '')} ")
+        elif tag == "text":  # of svg: drawn somewhere of its own
+            flow.text(" ")
+            _walk(child, flow)
+            flow.text(" ")
         elif tag in BLOCK or tag == "textarea":
             flow.end_line()
             nested = node.tag == "li" and tag in ("ul", "ol", "menu", "dir")  # lists in lists have no margin
@@ -474,8 +483,8 @@ def render(html: str | None) -> str:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
-        html = names.index("__html")
-        keep = [i for i in range(len(names)) if i != html]
+        html = len(names) - 1
+        keep = range(html)
         texts = [render(x.as_py()) for x in batch.column(html)]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string())], [*(names[i] for i in keep), "text"])
 
@@ -486,15 +495,17 @@ def extract_html(df: DataFrame, html_col: str = "html", columns: list[str] | Non
     A start tag ends the elements that it cannot lie in, rows are put around bare cells,
     and unclosed elements end with their parents.  Not shown are scripts, styles, heads,
     templates, hidden elements, closed details and dialogs, and what display or visibility
-    hides in a style attribute or in a sheet's rule for an element, class or id.  Blocks
+    hides in a style attribute or in a sheet's rule for an element, class or id.  Inputs show
+    their value or placeholder, svg and math their text.  Blocks
     start lines, paragraphs and their like leave an empty line, list items have their mark
     and indent, preformatted text stays as it is, table cells stand in aligned columns.
 
-    No shuffle: each page is rendered where it is read.  A null or empty page gives an
+    No shuffle: each page is rendered where it is read, whole, however long; elements nested
+    over ``MAX_DEPTH`` deep become siblings and keep their text.  A null or empty page gives an
     empty text; text without tags is text; tags that never end are text too; repeated rows
     come out alike; an empty table gives an empty result.
     """
     kept = columns if columns is not None else [c for c in df.columns if c not in (html_col, "text")]
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
-    source = df.select(*kept, F.col(html_col).cast("string").alias("__html"))
+    source = df.select(*kept, F.col(html_col).cast("string").alias(f"html_{uuid.uuid4().hex}"))
     return source.mapInArrow(_extract, f"{fields}text string")
