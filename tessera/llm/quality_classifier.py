@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, WORD
-from tessera.llm.words import Words, mix64, text_chunks
+from tessera.llm.common import materialize, release
+from tessera.llm.words import _IS_SPACE, Words, mix64, text_chunks
 
 GOOD, BAD = 1, -1
 #: Features of the scorer, and how many rows (about) it is fitted on: a sample by hash of the id.
@@ -20,40 +21,61 @@ EM_ROUNDS = 200
 THRESHOLD = 0.5
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Each votes GOOD, BAD or 0 (abstains) on a text.  They overlap and none is right alone."""
-    dense = F.translate(text, SPACE, "")
-    chars = F.greatest(F.length(dense), F.lit(1))
-    words = F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1))
-    symbols = (F.length(text) - F.length(F.translate(text, "#*$%&|<>{}=~^\\_@", ""))) / words
-    upper = (F.length(dense) - F.length(F.translate(dense, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / chars
-    exclaims = (F.length(text) - F.length(F.translate(text, "!?", ""))) / words
-    stops = F.regexp_count(
-        text, F.lit(r"(?<![^\x20\x09-\x0D])(?:[Tt]he|of|and|to|in|a|is|[Dd]er|[Dd]ie|und|das|ein|den|la|le|les|de|des|et|est|que|y|el|los|en|un)(?![^\x20\x09-\x0D,.])")
-    ) / words
-    echoes = F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+(?=\1(?![^\x20\x09-\x0D]))")) / words
-    ends = F.regexp_count(text, F.lit(r"[.!?](?=[\x20\x09-\x0D]|\z)")) / words
-    marked = F.regexp_count(text, F.lit(r"[#*$%&|<>{}=~^\\_@!]{1,3}(?=[\x20\x09-\x0D]|\z)")) / words
-    capital = F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[A-Z]{2}")) / words
-    variety = F.size(F.array_distinct(F.split(F.btrim(text, F.lit(SPACE)), r"[\x20\x09-\x0D]+"))) / words
-    length = chars / words
-
-    def vote(bad: Column, good: Column | None = None) -> Column:
-        return F.when(bad, F.lit(BAD)).when(F.lit(False) if good is None else good, F.lit(GOOD)).otherwise(F.lit(0))
-
-    return {
-        "symbols": vote(symbols > 0.3),
-        "marked": vote(marked > 0.25),
-        "upper": vote(upper > 0.4),
-        "capital": vote(capital > 0.4),
-        "exclaims": vote(exclaims > 0.25),
-        "stop_words": vote((stops < 0.03) & (words >= 20), (stops > 0.1) & (variety > 0.2)),
-        "echoes": vote((echoes > 0.2) & (words >= 10)),
-        "variety": vote((variety < 0.15) & (words >= 20), (variety > 0.3) & (words >= 2)),
-        "sentences": vote(((ends < 0.01) & (words > 50)) | ((ends > 0.5) & (words > 20)), (ends > 0.03) & (ends < 0.4) & (echoes < 0.1)),
-        "word_length": vote(((length < 2) | (length > 14)) & (words >= 5)),
-        "length": vote(words < 2),
+#: Labellers vote GOOD, BAD or 0 (abstains) on a text.  They overlap and none is right alone.
+LABELLERS = ("symbols", "marked", "upper", "capital", "exclaims", "stop_words", "echoes", "variety", "sentences", "word_length", "length")
+_STOPS = "The the of and to in a is Der der Die die und das ein den la le les de des et est que y el los en un".split()
+
+
+def _among(characters: str) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(characters.encode())] = True
+    return table
+
+
+_SYMBOL, _MARK, _UPPER = _among("#*$%&|<>{}=~^\\_@"), _among("#*$%&|<>{}=~^\\_@!"), _among("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_CALL, _END, _PAUSE = _among("!?"), _among(".!?"), _among(",.")
+
+
+def _stop_hashes() -> np.ndarray:
+    data = np.frombuffer(" ".join(_STOPS).encode(), dtype=np.uint8)
+    return Words(data, np.array([0, len(data)])).hashes()
+
+
+def vote(words: Words) -> np.ndarray:
+    """Of each text the votes of LABELLERS."""
+    data, starts, ends, n = words.data, words.starts, words.ends, np.maximum(words.counts, 1)
+    own, texts = words.hashes(), words.text_of()
+    letters = (data & 0xC0) != 0x80  # code points begin there
+    chars = np.maximum(words.per_text(letters & ~_IS_SPACE[data]), 1)
+    last = data[ends - 1]
+    pauses = np.append(np.flatnonzero(_PAUSE[data]), len(data))
+    stems = np.minimum(ends, pauses[np.searchsorted(pauses, starts)])  # a stop word may have a comma or full stop after it
+    stops = words.words_per_text(np.isin(words.hashes_of(starts, stems), _stop_hashes())) / n
+    twice = np.zeros(len(own), dtype=bool)
+    twice[:-1] = (own[1:] == own[:-1]) & (texts[1:] == texts[:-1])
+    echoes = words.words_per_text(twice) / n
+    closes = words.words_per_text(_END[last]) / n
+    long = ends - starts >= 2
+    capital = words.words_per_text(long & _UPPER[data[starts]] & _UPPER[data[np.minimum(starts + 1, len(data) - 1)]]) / n if len(starts) else np.zeros(len(n))
+    order = np.lexsort((own, texts))
+    fresh = np.ones(len(own), dtype=bool)
+    fresh[1:] = (own[order][1:] != own[order][:-1]) | (texts[order][1:] != texts[order][:-1])
+    variety = np.maximum(np.bincount(texts[order][fresh], minlength=len(n)), 1) / n
+    length = chars / n
+    bad_good = {
+        "symbols": (words.per_text(_SYMBOL[data]) / n > 0.3, False),
+        "marked": (words.words_per_text(_MARK[last]) / n > 0.25, False),
+        "upper": (words.per_text(_UPPER[data]) / chars > 0.4, False),
+        "capital": (capital > 0.4, False),
+        "exclaims": (words.per_text(_CALL[data]) / n > 0.25, False),
+        "stop_words": ((stops < 0.03) & (n >= 20), (stops > 0.1) & (variety > 0.2)),
+        "echoes": ((echoes > 0.2) & (n >= 10), False),
+        "variety": ((variety < 0.15) & (n >= 20), (variety > 0.3) & (n >= 2)),
+        "sentences": ((closes < 0.01) & (n > 50) | (closes > 0.5) & (n > 20), (closes > 0.03) & (closes < 0.4) & (echoes < 0.1)),
+        "word_length": (((length < 2) | (length > 14)) & (n >= 5), False),
+        "length": (n < 2, False),
     }
+    return np.stack([np.where(bad, BAD, np.where(good, GOOD, 0)) for bad, good in (bad_good[k] for k in LABELLERS)], axis=1)
 
 
 def fit_labellers(votes: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -109,61 +131,72 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.tile(texts, len(kinds)), np.concatenate([k & mask for k in kinds]).astype(np.int64)
 
 
-def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on hashed shares with soft labels, the classes weighted alike; full-batch Adam."""
-    if not rows:
+def train_scorer(row: np.ndarray, col: np.ndarray, share: np.ndarray, labels: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on hashed shares (of feature ``col`` in ``row``) with soft labels, the classes weighted alike; full-batch Adam."""
+    if not len(labels):
         return np.zeros(FEATURES), 0.0
-    sizes = np.array([len(i) for i, _ in rows])
-    row, col = np.repeat(np.arange(len(rows)), sizes), np.concatenate([i for i, _ in rows])
-    val = np.concatenate([v for _, v in rows]) * 10
+    val = (share * 10).astype(np.float32)
+    by_row, by_col = np.argsort(row, kind="stable"), np.argsort(col, kind="stable")
+    cells = [(idx[o], val[o], *np.unique(key[o], return_index=True)) for o, key, idx in ((by_row, row, col), (by_col, col, row))]
+    (row_cols, row_vals, rows, row_at), (col_rows, col_vals, cols, col_at) = cells
     y = np.clip(labels, 0.0, 1.0)
     weight = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum()))
     w, bias = np.zeros(FEATURES), 0.0
     m, v = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
+    z, grad = np.zeros(len(y)), np.zeros(FEATURES + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=w[col] * val, minlength=len(rows)) + bias
-        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
-        grad = np.append(np.bincount(col, weights=err[row] * val, minlength=FEATURES) + 1e-4 * w, err.sum())
+        z[rows] = np.add.reduceat(w.astype(np.float32)[row_cols] * row_vals, row_at)
+        err = (1 / (1 + np.exp(-np.clip(z + bias, -50, 50))) - y) * weight
+        grad[:-1], grad[-1] = 1e-4 * w, err.sum()
+        grad[cols] += np.add.reduceat(err.astype(np.float32)[col_rows] * col_vals, col_at)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
     return w * 10, float(bias)
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts with a flag: how many have each pattern of votes (rows without cols), and features of those flagged."""
+    powers = 3 ** np.arange(len(LABELLERS))
     for batch in batches:
-        cols, vals = [], []
-        for _, _, data, bounds in text_chunks(batch.column(1)):
+        for a, b, data, bounds in text_chunks(batch.column(0)):
             words = Words(data, bounds)
-            text, feature = features(words)
-            pair, n = np.unique(text * FEATURES + feature, return_counts=True)
-            share = n / np.maximum(words.counts, 1)[pair // FEATURES]
-            cut = np.searchsorted(pair, np.arange(len(bounds)) * FEATURES)
-            for a, b in zip(cut[:-1], cut[1:]):
-                cols.append((pair[a:b] % FEATURES).astype(np.int32))
-                vals.append(share[a:b].astype(np.float32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))],
-            ["posterior", "cols", "vals"],
-        )
+            codes = (vote(words) + 1) @ powers
+            kinds, n = np.unique(codes, return_counts=True)
+            chosen = np.flatnonzero(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool) & (words.counts > 0))
+            cols, vals = [None] * len(kinds), [None] * len(kinds)
+            if len(chosen):
+                text, feature = features(words)
+                wanted = np.isin(text, chosen)
+                pair, uses = np.unique(text[wanted] * FEATURES + feature[wanted], return_counts=True)
+                share = uses / words.counts[pair // FEATURES]
+                for i in chosen.tolist():
+                    x, y = np.searchsorted(pair, (i * FEATURES, (i + 1) * FEATURES))
+                    cols.append((pair[x:y] % FEATURES).astype(np.int32))
+                    vals.append(share[x:y].astype(np.float32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([kinds, codes[chosen]])), pa.array(np.concatenate([n, np.zeros(len(chosen), dtype=np.int64)])),
+                 pa.array(cols, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))],
+                ["code", "n", "cols", "vals"],
+            )
 
 
 def _score(shared):
+    """The last column is the text; in its place comes its score."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         for batch in batches:
             scores = []
-            for _, _, data, bounds in text_chunks(batch.column(batch.schema.names.index("__text"))):
+            for _, _, data, bounds in text_chunks(batch.column(batch.num_columns - 1)):
                 words = Words(data, bounds)
                 text, feature = features(words)
                 total = np.bincount(text, weights=w[feature], minlength=len(bounds) - 1)
                 n = words.counts
                 z = total / np.maximum(n, 1) + bias
                 scores.append(np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0))
-            keep = [i for i, c in enumerate(batch.schema.names) if c != "__text"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(np.concatenate(scores) if scores else np.zeros(0))],
-                [*(batch.schema.names[i] for i in keep), "quality_score"],
+                [*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names[:-1], "quality_score"]
             )
 
     return score
@@ -181,45 +214,34 @@ def classify_quality(
 
     Heuristic labellers vote on every text; expectation-maximisation over all vote
     patterns estimates how far each can be trusted; the posterior then labels a sample of
-    about ``sample_rows`` rows, chosen by hash of id and text, on which the driver fits a
-    linear scorer over hashed word features.  That scorer judges every row.
+    about ``sample_rows`` rows, chosen by hash of id and length, on which the driver fits a
+    linear scorer over hashed word features.  That scorer judges every row.  Texts are read
+    twice: for votes and the sample's features, and for scores.
 
-    A null or empty text, or one without words, scores 0 and is not kept.  Repeated rows
-    score alike; null ids are fine; an empty table gives an empty result.
+    Texts are judged whole, however long; a score of ``threshold`` is kept.  A null or empty
+    text, or one without words, scores 0 and is not kept.  Repeated rows score alike; null ids
+    are fine; an empty table gives an empty result.  Columns named quality_score or kept are replaced.
     """
     spark = df.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = labellers(text)
-    names = list(named)
-    key = F.xxhash64(F.lit(4), F.col(id_col), F.length(text))
-    voted = df.select(*[v.cast("byte").alias(k) for k, v in named.items()])
-    table = voted.groupBy(*names).count().collect()  # at most 3 ** labellers rows
-    votes = np.array([[r[k] for k in names] for r in table], dtype=int).reshape(-1, len(names))
-    counts = np.array([r["count"] for r in table], dtype=float)
+    text = F.col(text_col).cast("string")
+    rows = df.count()
+    share = min(1.0, sample_rows / max(1, rows))
+    flag = F.pmod(F.xxhash64(F.lit(4), F.col(id_col), F.length(F.coalesce(text, F.lit("")))), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    found = materialize(df.select(text.alias("text"), flag.alias("flag")).mapInArrow(_survey, "code long, n long, cols array<int>, vals array<float>"))
+    table = found.filter("cols IS NULL").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most 3 ** labellers rows
+    codes, counts = table.column(0).to_numpy(), table.column(1).to_numpy().astype(float)
+    votes = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
     post, chance, prior = fit_labellers(votes, counts)
 
-    share = min(1.0, sample_rows / max(1.0, counts.sum()))
-    patterns = spark.createDataFrame(
-        [(*map(int, v), float(p)) for v, p in zip(votes, post)], ", ".join(f"{k} byte" for k in names) + ", posterior double"
-    )
-    sample = df.filter(F.pmod(key, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(
-        F.col(text_col).cast("string").alias("__text"), *[v.cast("byte").alias(k) for k, v in named.items()]
-    )
-    rows = (
-        sample.join(F.broadcast(patterns), names)
-        .select("posterior", "__text")
-        .mapInArrow(_featurise, "posterior double, cols array<int>, vals array<float>")
-        .toPandas()
-    )
-    rows = rows[rows["cols"].map(len) > 0]
-    w, bias = train_scorer(
-        [(np.asarray(c, dtype=np.int64), np.asarray(v, dtype=float)) for c, v in zip(rows["cols"], rows["vals"])],
-        rows["posterior"].to_numpy(float),
-    )
+    sample = found.filter("cols IS NOT NULL").select("code", "cols", "vals").toArrow().combine_chunks()
+    release(found)
+    order = np.argsort(codes)
+    labels = post[order][np.searchsorted(codes[order], sample.column(0).to_numpy())]
+    lists = sample.column(1).combine_chunks()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    w, bias = train_scorer(row, lists.flatten().to_numpy().astype(np.int64), sample.column(2).combine_chunks().flatten().to_numpy().astype(float), labels)
     shared = spark.sparkContext.broadcast((w, bias))
-    kept = columns if columns is not None else [c for c in df.columns if c not in ("quality_score", "kept")]
+    kept = [c for c in (df.columns if columns is None else columns) if c not in ("quality_score", "kept")]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    scored = df.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(
-        _score(shared), f"{fields}, quality_score double"
-    )
+    scored = df.select(*kept, text.alias(f"text_{uuid.uuid4().hex}")).mapInArrow(_score(shared), f"{fields}, quality_score double")
     return scored.withColumn("kept", F.col("quality_score") >= F.lit(threshold))

@@ -60,11 +60,23 @@ class Words:
 
     def hashes(self, classes: np.ndarray | None = None) -> np.ndarray:
         """Of each word a 64-bit hash of its bytes, or of what ``classes`` (256 bytes) makes of them."""
+        return self.hashes_of(self.starts, self.ends, classes)
+
+    def hashes_of(self, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+        """The same of any runs of bytes."""
         table = _RANDOM if classes is None else _RANDOM[classes]
         up, down = _power_tables(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum(table[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix64((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return mix64((sums[ends] - sums[starts]) * down[starts])
+
+    def per_text(self, marked: np.ndarray) -> np.ndarray:
+        """Of each text how many of its bytes are marked."""
+        return np.diff(np.concatenate(([0], np.cumsum(marked)))[self.bounds])
+
+    def words_per_text(self, marked: np.ndarray) -> np.ndarray:
+        """Of each text how many of its words are marked."""
+        return np.diff(np.concatenate(([0], np.cumsum(marked)))[self.first])
 
 
 def text_chunks(column: pa.Array, chunk_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
