@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE
+from tessera.llm.common import SPACE, put_back, set_aside
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -56,15 +56,13 @@ def _let(value: Column, body) -> Column:
 def _repeat_words(words: Column) -> Column:
     """How many words lie in a 3-word window that occurs at least twice in ``words``.
 
-    O(n log n) in the row: windows are sorted with their places, equal neighbours
+    Windows are known by 64-bit hashes; a text whose hashes all differ has no repeat.  In
+    others, O(n log n) in the row, hashes are sorted with their places, equal neighbours
     are the repeats, and their places in order give the words covered once each.
     """
 
-    def within(w: Column) -> Column:
-        at = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p")),
-        )
+    def covered_by(g: Column) -> Column:
+        at = F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("p")))
         repeated = _let(
             F.sort_array(at),
             lambda s: F.filter(
@@ -77,7 +75,7 @@ def _repeat_words(words: Column) -> Column:
                 lambda p: p.isNotNull(),
             ),
         )
-        covered = _let(
+        return _let(
             F.sort_array(repeated),
             lambda p: F.when(F.size(p) == 0, F.lit(0)).otherwise(
                 F.aggregate(
@@ -87,7 +85,11 @@ def _repeat_words(words: Column) -> Column:
                 )
             ),
         )
-        return F.when(F.size(w) < 3, F.lit(0)).otherwise(covered)
+
+    def within(w: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        found = _let(windows, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered_by(g)))
+        return F.when(F.size(w) < 3, F.lit(0)).otherwise(found)
 
     return _let(words, within)
 
@@ -115,9 +117,11 @@ def quality_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
 
     One projection over the scan: no shuffle, no Python, rows stay where they are.
     A null or empty text has no words, so it fails the base rules.  Repeated rows are
-    judged each on its own; an empty table gives an empty result.  Columns of ``df`` that
+    judged each on its own, and what equals a threshold passes; texts are judged whole; an empty table gives an empty result.  Columns of ``df`` that
     bear a measure's name are replaced.
     """
+    df, own = set_aside(df)
+    text_col = own.get(text_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
@@ -134,11 +138,8 @@ def quality_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     base = (F.col("n_words") < BASE_MIN_WORDS) | (
         100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words")
     )
-    return (
-        counted.withColumn("failed_rules", failed)
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    )
+    judged = counted.withColumn("failed_rules", failed).withColumn("base_failed", base)
+    return put_back(judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)), own)
 
 
 def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
