@@ -128,19 +128,19 @@ def fold(sql: str) -> str:
     return f"translate({sql}, '{UPPER}', '{LOWER}')"
 
 
-#: Collations: the sort key, as Spark SQL text, of a value.  Engine.create_collation adds to them.
+#: Collations that every engine has: the sort key, as Spark SQL text, of a value.
 COLLATIONS: dict[str, Callable[[str], str]] = {"BINARY": lambda sql: sql, "NOCASE": fold, "RTRIM": lambda sql: f"rtrim({sql})"}
 
 
-def collate(sql: str, name: str | None) -> str:
+def collate(sql: str, name: str | None, known: dict[str, Callable[[str], str]] = COLLATIONS) -> str:
     if name is None:
         return sql
-    if name not in COLLATIONS:
+    if name not in known:
         raise SqlError(f"no such collation sequence: {name}")
-    return COLLATIONS[name](sql)
+    return known[name](sql)
 
 
-def compare(op: str, a: Typed, b: Typed, collation: str | None = None, columns: tuple[bool, bool] = (True, True), literals: tuple = (None, None)) -> Typed:
+def compare(op: str, a: Typed, b: Typed, collation: str | None = None, columns: tuple[bool, bool] = (True, True), known: dict = COLLATIONS) -> Typed:
     """Comparison with affinity; between classes NULL < numbers < text < blob."""
     ranks = {"int": 1, "real": 1, "bool": 1, "text": 2, "blob": 3}
     if "null" in (a[1], b[1]):
@@ -150,13 +150,13 @@ def compare(op: str, a: Typed, b: Typed, collation: str | None = None, columns:
         return f"({a[0]} {op} {b[0]})", "bool"
     ra, rb = ranks[a[1]], ranks[b[1]]
     if ra == rb:
-        x, y = (collate(a[0], collation), collate(b[0], collation)) if ra == 2 else (a[0], b[0])
+        x, y = (collate(a[0], collation, known), collate(b[0], collation, known)) if ra == 2 else (a[0], b[0])
         return f"({x} {op} {y})", "bool"
     if {ra, rb} == {1, 2}:
         flip = ra == 2
         (n, t), n_column, t_column = ((b, a), columns[1], columns[0]) if flip else ((a, b), columns[0], columns[1])
         if t_column and not n_column:  # text affinity
-            x, y = collate(text(n), collation), collate(t[0], collation)
+            x, y = collate(text(n), collation, known), collate(t[0], collation, known)
             return (f"({y} {op} {x})" if flip else f"({x} {op} {y})"), "bool"
         if n_column:  # numeric affinity: text that is a number counts as one
             parsed = f"try_cast({t[0]} AS DOUBLE)"
@@ -240,5 +240,16 @@ def glob_regex(pattern: str) -> str:
     return f"(?s)\\A{''.join(out)}\\z"
 
 
+def glob_column(pattern: str) -> str:
+    """The same expression for a pattern that differs from row to row, as Spark SQL text."""
+    part = quote(r"(\[\^?\]?[^\]]*\]|(?s:.))")
+    escaped = f"regexp_replace(regexp_replace(substr(t, 2, length(t) - 2), '^\\\\^', ''), {quote(r'([\[\]\^&~\\])')}, {quote(r'\\$1')})"
+    regex = (
+        f"CASE WHEN t = '*' THEN '.*' WHEN t = '?' THEN '.' WHEN length(t) > 1 THEN concat(if(substr(t, 2, 1) = '^', '[^', '['), {escaped}, ']') "
+        f"WHEN t = '[' THEN '(?!)' ELSE concat({quote(chr(92) + 'Q')}, t, {quote(chr(92) + 'E')}) END"
+    )
+    return f"concat({quote('(?s)' + chr(92) + 'A')}, array_join(transform(regexp_extract_all({pattern}, {part}, 1), t -> {regex}), ''), {quote(chr(92) + 'z')})"
+
+
 def is_number(s: str) -> bool:
     return bool(_FULL_NUMBER.match(s))

@@ -298,11 +298,45 @@ class FullText:
         )
         return here.join(everywhere, ["term", "col"]).select("docid", "term", "col", "hits", "all_hits", "docs_with_hits")
 
+    def matchinfo_blob(self, query: str, letters: str = "pcx", column: str | None = None) -> DataFrame:
+        """(docid, matchinfo): 32-bit little-endian numbers for each letter of a format.
+
+        p: phrases; c: columns; n: documents; a: mean tokens of each column; l: tokens of each
+        column here; x: for each phrase and column the hits here, the hits in all documents
+        and the documents with hits.
+        """
+        for f in letters:
+            if f not in "pcnalx":
+                raise SqlError(f"unrecognized matchinfo request: {f}")
+        phrases, width = phrases_of(parse_match(query, column)), len(self.columns)
+        out = self.match(query, column)
+        numbers = []
+        if set(letters) & set("nal"):
+            count = lambda c: F.size(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"({TOKEN})"), F.lit(1)))
+            sized = self.df.select(F.col(self.docid).alias("docid"), *[count(c).alias(f"l{i}") for i, c in enumerate(self.columns)])
+            total = sized.agg(F.count(F.lit(1)).alias("n"), *[F.floor((F.sum(f"l{i}") + F.count(F.lit(1)) / 2) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias(f"a{i}") for i in range(width)])
+            out = out.join(sized, "docid").crossJoin(F.broadcast(total))  # one row
+        if "x" in letters:
+            for k, phrase in enumerate(phrases):
+                hits = self.hits(phrase).groupBy("docid", "col").agg(F.count(F.lit(1)).alias("h"))
+                here = hits.groupBy("docid").agg(*[F.sum(F.when(F.col("col") == i, F.col("h"))).alias(f"h{k}_{i}") for i in range(width)])
+                every = hits.agg(*[f(F.when(F.col("col") == i, F.col("h"))).alias(f"{n}{k}_{i}") for i in range(width) for n, f in (("t", F.sum), ("d", F.count))])
+                out = out.join(here, "docid", "left").crossJoin(F.broadcast(every))  # one row
+        for f in letters:
+            numbers += {
+                "p": [F.lit(len(phrases))], "c": [F.lit(width)], "n": [F.col("n")] if "n" in letters else [],
+                "a": [F.col(f"a{i}") for i in range(width)], "l": [F.col(f"l{i}") for i in range(width)],
+                "x": [F.col(f"{n}{k}_{i}") for k in range(len(phrases)) for i in range(width) for n in "htd"],
+            }[f]
+        digits = [F.lpad(F.hex(F.coalesce(v, F.lit(0)).cast("long")), 8, "0") for v in numbers]
+        blob = F.unhex(F.concat(*[F.substring(d, at, 2) for d in digits for at in (7, 5, 3, 1)]))
+        return out.select("docid", blob.alias("matchinfo"))
+
     def snippet(
-        self, query: str, start: str = "<b>", end: str = "</b>", ellipsis: str = "<b>...</b>", column: int = -1, n_tokens: int = 15
+        self, query: str, start: str = "<b>", end: str = "</b>", ellipsis: str = "<b>...</b>", column: int = -1, n_tokens: int = 15, only: str | None = None
     ) -> DataFrame:
         """(docid, snippet): the window of at most ``n_tokens`` tokens with most different terms, hits marked."""
-        places = self._places(query, None)
+        places = self._places(query, only)
         if column >= 0:
             places = places.filter(F.col("col") == column)
         width = abs(n_tokens)

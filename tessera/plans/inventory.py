@@ -19,7 +19,6 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "source_parenthesised_join": ("SELECT r_name, n_name FROM region JOIN (nation JOIN supplier ON s_nationkey = n_nationkey) ON n_regionkey = r_regionkey WHERE s_acctbal > 5000", None),
     "source_single_row": ("SELECT 1 AS one, 'x' AS x, NULL IS NULL AS t", "SELECT 1::BIGINT AS one, 'x' AS x, 1::BIGINT AS t"),
     "count_fast": ("SELECT count(*) AS n FROM lineitem", None),
-    "tree_scan": ("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 500 ORDER BY o_orderkey LIMIT 20", None),
     # 2.2 projection and predicates
     "project_star": ("SELECT * FROM nation", None),
     "project_table_star": ("SELECT n.*, r.r_name AS region FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey", None),
@@ -46,6 +45,9 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "like": ("SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%brass%' OR p_name LIKE 'PART%9_'", "SELECT p_partkey, p_name FROM part WHERE p_type ILIKE '%brass%' OR p_name ILIKE 'PART%9_'"),
     "like_escape": ("SELECT c_custkey FROM customer WHERE c_name LIKE '%#_00000004%' ESCAPE '#' OR c_name NOT LIKE '%0%'", "SELECT c_custkey FROM customer WHERE c_name ILIKE '%#_00000004%' ESCAPE '#' OR c_name NOT ILIKE '%0%'"),
     "glob": ("SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#[12]?' AND p_brand NOT GLOB '*[^0-4]'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[12].') AND NOT regexp_full_match(p_brand, '.*[^0-4]')"),
+    "glob_column": ("SELECT n_nationkey, pat FROM nation JOIN (SELECT '*_1?' AS pat UNION ALL SELECT 'NATION_[2-4]' UNION ALL SELECT '[^N]*' UNION ALL SELECT 'N.TION*') ON n_name GLOB pat",
+        "SELECT n_nationkey, pat FROM nation JOIN (VALUES ('*_1?', '.*_1.'), ('NATION_[2-4]', 'NATION_[2-4]')) v(pat, re) ON regexp_full_match(n_name, re)"),
+    "call_forms": ("SELECT n_nationkey, like('%\\_%', n_name) AS l FROM nation WHERE glob('NATION_1*', n_name) AND like('%5', n_name) OR regexp('_2$', n_name)", "SELECT n_nationkey, 0::BIGINT AS l FROM nation WHERE n_name IN ('NATION_15', 'NATION_2')"),
     "regexp": ("SELECT c_custkey FROM customer WHERE c_name REGEXP '0[1-3]5$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '0[1-3]5$')"),
     "case_searched": ("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' END AS band FROM orders", None),
     "case_simple": ("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 0 END AS code FROM lineitem", "SELECT l_orderkey, l_linenumber, (CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 0 END)::BIGINT AS code FROM lineitem"),
@@ -79,7 +81,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "group_concat": ("SELECT n_regionkey, group_concat(n_name) AS names, group_concat(n_name, '; ') AS spaced, group_concat(DISTINCT n_regionkey) AS one FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, string_agg(n_name, '; ' ORDER BY n_name) AS spaced, any_value(n_regionkey)::VARCHAR AS one FROM nation GROUP BY n_regionkey"),
     "having": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15 AND max(o_totalprice) > 1000", None),
     "having_alias": ("SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY k HAVING n > 15", "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15"),
-    "bare_column": ("SELECT c_nationkey, count(*) AS n, c_nationkey + 1 AS m FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, count(*) AS n, (c_nationkey + 1)::BIGINT AS m FROM customer GROUP BY c_nationkey"),
+    "bare_column": ("SELECT c_nationkey, count(*) AS n, c_custkey, c_name FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, count(*) AS n, max(c_custkey) AS c_custkey, arg_max(c_name, c_custkey) AS c_name FROM customer GROUP BY c_nationkey"),
     "group_by_expression": ("SELECT strftime('%Y', o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1", "SELECT strftime(o_orderdate, '%Y') AS y, count(*) AS n FROM orders GROUP BY 1"),
     # 2.6 sort, limit, set operations
     "order_by": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_nationkey DESC, c_acctbal, 1", None),
@@ -88,6 +90,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5", None),
     "limit_comma": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5, 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5"),
     "limit_negative": ("SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT -1 OFFSET 20", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20"),
+    "limit_expression": ("SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT (SELECT count(*) FROM region) OFFSET 1 + 1", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 2"),
     "top_k": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", None),
     "union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
     "union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
@@ -97,6 +100,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     # 2.7 scalar expressions
     "arithmetic": ("SELECT o_orderkey, o_custkey / 7 AS d, o_custkey % 7 AS m, o_totalprice / 3 AS r, - o_custkey AS neg, o_custkey * 2 - 1 AS x FROM orders", "SELECT o_orderkey, o_custkey // 7 AS d, o_custkey % 7 AS m, o_totalprice / 3 AS r, - o_custkey AS neg, o_custkey * 2 - 1 AS x FROM orders"),
     "division_edges": ("SELECT -7 / 2 AS a, 7 / 0 AS b, 7.0 / 0 AS c, 7 % 0 AS d, -7 % 3 AS e, 7.5 % 2 AS f, 9223372036854775807 + 1 AS g", "SELECT -3::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS c, NULL::BIGINT AS d, -1::BIGINT AS e, 1.0::DOUBLE AS f, 9223372036854775808.0::DOUBLE AS g"),
+    "nan_result": ("SELECT 1e308 * 10 - 1e308 * 10 AS a, s_suppkey, s_acctbal * 0.0 + (1e308 * 10 - 1e308 * 10) AS b FROM supplier WHERE s_suppkey < 5", "SELECT NULL::DOUBLE AS a, s_suppkey, NULL::DOUBLE AS b FROM supplier WHERE s_suppkey < 5"),
     "shifts": ("SELECT 1 << 4 AS a, 1 << 64 AS b, -1 >> 70 AS c, 256 >> 4 AS d, 1 << -1 AS e, 8 >> -2 AS f, 6 & 3 AS g, 6 | 3 AS h, ~5 AS i", "SELECT 16::BIGINT AS a, 0::BIGINT AS b, -1::BIGINT AS c, 16::BIGINT AS d, 0::BIGINT AS e, 32::BIGINT AS f, 2::BIGINT AS g, 7::BIGINT AS h, -6::BIGINT AS i"),
     "concat": ("SELECT c_custkey, c_name || '/' || c_nationkey AS s, 'x' || NULL AS n FROM customer", "SELECT c_custkey, c_name || '/' || c_nationkey AS s, NULL::VARCHAR AS n FROM customer"),
     "text_arithmetic": ("SELECT '12abc' + 1 AS a, 'abc' * 2 AS b, '3' || 4 AS c, +'7' AS d", "SELECT 13.0::DOUBLE AS a, 0.0::DOUBLE AS b, '34' AS c, '7' AS d"),
@@ -109,6 +113,8 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "fn_blob": ("SELECT length(zeroblob(5)) AS a, hex(zeroblob(2)) AS b, length(randomblob(7)) AS c, typeof(random()) AS d, soundex('Robert') AS e", "SELECT 5::BIGINT AS a, '0000' AS b, 7::BIGINT AS c, 'integer' AS d, 'R163' AS e"),
     "fn_date": ("SELECT o_orderkey, date(o_orderdate) AS d, date(o_orderdate, 'start of month') AS m, date(o_orderdate, '+10 days') AS p, strftime('%Y/%m', o_orderdate) AS f, date(o_orderdate, 'weekday 0') AS w FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS m, strftime(o_orderdate + INTERVAL 10 DAY, '%Y-%m-%d') AS p, strftime(o_orderdate, '%Y/%m') AS f, strftime(o_orderdate + to_days(((7 - dayofweek(o_orderdate)) % 7)::INTEGER), '%Y-%m-%d') AS w FROM orders"),
     "fn_datetime": ("SELECT datetime('2004-01-31 10:20:30', '+1 month') AS a, time('2004-01-01 13:45:06') AS b, julianday('2000-01-01') AS c, strftime('%s', '1970-01-02') AS d, datetime(0, 'unixepoch') AS e, date(2451544.5) AS f, strftime('%w %j %W %H', '2004-02-29 07:08:09') AS g", "SELECT '2004-03-02 10:20:30' AS a, '13:45:06' AS b, 2451544.5::DOUBLE AS c, '86400' AS d, '1970-01-01 00:00:00' AS e, '2000-01-01' AS f, '0 060 08 07' AS g"),
+    "fn_current": ("SELECT current_date = date('now') AS d, length(current_time) AS t, length(current_timestamp) AS ts, current_timestamp > '2020' AS later", "SELECT 1::BIGINT AS d, 8::BIGINT AS t, 19::BIGINT AS ts, 1::BIGINT AS later"),
+    "fn_version": ("SELECT typeof(sqlite_version()) AS v, length(sqlite_source_id()) > 0 AS s, sqlite_compileoption_used('NONE') AS u", "SELECT 'text' AS v, 1::BIGINT AS s, 0::BIGINT AS u"),
     "events_by_hour": ("SELECT strftime('%H', ts) AS h, event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY h, event_type", "SELECT strftime(ts, '%H') AS h, event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1, 2"),
     # benchmark workloads
     "workload_read": ("SELECT o_custkey, o_totalprice FROM orders WHERE o_orderkey = 4242", None),
@@ -136,4 +142,25 @@ CHANGES: dict[str, tuple[list[str], str, str]] = {
     "rowid": (["CREATE TABLE t (x TEXT)", "INSERT INTO t VALUES ('a')", "INSERT INTO t VALUES ('b')", "DELETE FROM t WHERE rowid = 1"], "SELECT rowid AS r, x FROM t", "SELECT 2::BIGINT AS r, 'b' AS x"),
     "in_table": (["CREATE TABLE keys AS SELECT c_custkey FROM customer WHERE c_nationkey = 7"], "SELECT o_orderkey FROM orders WHERE o_custkey IN keys", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)"),
     "pragma_catalog": (["CREATE TABLE t (a INTEGER PRIMARY KEY, b TEXT NOT NULL)", "CREATE INDEX i ON t (b)"], "SELECT type, name, tbl_name FROM sqlite_master WHERE name IN ('t', 'i')", "SELECT * FROM (VALUES ('table', 't', 't'), ('index', 'i', 't')) v(type, name, tbl_name)"),
+    "ctas_rowids": (["CREATE TABLE big AS SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey"], "SELECT count(*) AS n, count(DISTINCT rowid) AS ids, min(rowid) AS lo, max(rowid) AS hi FROM big", "SELECT count(DISTINCT o_custkey) AS n, count(DISTINCT o_custkey) AS ids, 1::BIGINT AS lo, count(DISTINCT o_custkey) AS hi FROM orders"),
+    "index_hint": (["CREATE INDEX by_cust ON orders (o_custkey)"], "SELECT o_orderkey FROM orders INDEXED BY by_cust WHERE o_custkey = 7", "SELECT o_orderkey FROM orders WHERE o_custkey = 7"),
+    "fn_changes": (["CREATE TABLE t (a INTEGER PRIMARY KEY, b TEXT)", "INSERT INTO t SELECT n_nationkey + 1, n_name FROM nation", "UPDATE t SET b = 'x' WHERE a <= 4", "INSERT INTO t (b) VALUES ('y')", "DELETE FROM t WHERE a > 20"], "SELECT last_insert_rowid() AS r, changes() AS c, total_changes() AS t", "SELECT 26::BIGINT AS r, 6::BIGINT AS c, 36::BIGINT AS t"),
+    "autoincrement": (["CREATE TABLE t (a INTEGER PRIMARY KEY AUTOINCREMENT, b TEXT)", "CREATE TABLE u (a INTEGER PRIMARY KEY, b TEXT)", "INSERT INTO t VALUES (7, 'x')", "INSERT INTO u VALUES (7, 'x')", "DELETE FROM t", "DELETE FROM u", "INSERT INTO t (b) VALUES ('y')", "INSERT INTO u (b) VALUES ('y')"], "SELECT t.a AS t, u.a AS u FROM t, u", "SELECT 8::BIGINT AS t, 1::BIGINT AS u"),
+    "trigger_instead_of": (["CREATE TABLE base (k INTEGER PRIMARY KEY, v TEXT)", "INSERT INTO base SELECT r_regionkey, r_name FROM region", "CREATE VIEW shown AS SELECT k, v FROM base WHERE k < 4",
+        "CREATE TRIGGER add_it INSTEAD OF INSERT ON shown BEGIN INSERT INTO base VALUES (new.k + 100, new.v); END", "CREATE TRIGGER set_it INSTEAD OF UPDATE ON shown BEGIN UPDATE base SET v = new.v || old.v WHERE k = old.k; END",
+        "CREATE TRIGGER drop_it INSTEAD OF DELETE ON shown BEGIN DELETE FROM base WHERE k = old.k; END", "INSERT INTO shown VALUES (1, 'new')", "UPDATE shown SET v = 'x' WHERE k = 2", "DELETE FROM shown WHERE k IN (0, 4)"],
+        "SELECT k, v FROM base", "SELECT r_regionkey::BIGINT AS k, CASE WHEN r_regionkey = 2 THEN 'x' || r_name ELSE r_name END AS v FROM region WHERE r_regionkey <> 0 UNION ALL SELECT 101, 'new'"),
+    "trigger_insert_select": (["CREATE TABLE t (a INTEGER PRIMARY KEY, b INTEGER)", "CREATE TABLE log (a INTEGER, name TEXT)", "CREATE TRIGGER tr AFTER INSERT ON t WHEN new.b > 0 BEGIN INSERT INTO log SELECT new.a, n_name FROM nation WHERE n_regionkey = new.b; END", "INSERT INTO t SELECT r_regionkey, r_regionkey FROM region"],
+        "SELECT a, name FROM log", "SELECT n_regionkey::BIGINT AS a, n_name AS name FROM nation WHERE n_regionkey > 0"),
+    "foreign_key_set_null": (["PRAGMA foreign_keys = ON", "CREATE TABLE p (id INTEGER PRIMARY KEY)", "CREATE TABLE c (id INTEGER PRIMARY KEY, p INTEGER REFERENCES p(id) ON DELETE SET NULL)", "INSERT INTO p SELECT r_regionkey FROM region", "INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation", "DELETE FROM p WHERE id = 3"], "SELECT id, p FROM c", "SELECT n_nationkey::BIGINT AS id, nullif(n_regionkey, 3)::BIGINT AS p FROM nation"),
+    "foreign_key_deferred": (["PRAGMA foreign_keys = ON", "CREATE TABLE p (id INTEGER PRIMARY KEY)", "CREATE TABLE c (id INTEGER PRIMARY KEY, p INTEGER REFERENCES p(id) DEFERRABLE INITIALLY DEFERRED)", "BEGIN", "INSERT INTO c VALUES (1, 9)", "INSERT INTO p VALUES (9)", "COMMIT"], "SELECT c.id AS c, p.id AS p FROM c JOIN p ON c.p = p.id", "SELECT 1::BIGINT AS c, 9::BIGINT AS p"),
+    "pragma_table_info": (["CREATE TABLE t (a INTEGER PRIMARY KEY, b TEXT NOT NULL, c REAL DEFAULT 2)"], "PRAGMA table_info(t)", "SELECT * FROM (VALUES (0::BIGINT, 'a', 'INTEGER', 0::BIGINT, NULL, 1::BIGINT), (1, 'b', 'TEXT', 1, NULL, 0), (2, 'c', 'REAL', 0, '2', 0)) v(cid, name, type, \"notnull\", dflt_value, pk)"),
+    "pragma_foreign_keys": (["PRAGMA foreign_keys = ON"], "PRAGMA foreign_keys", "SELECT 1::BIGINT AS foreign_keys"),
+    "vacuum_analyze": (["CREATE TABLE t AS SELECT n_nationkey AS k FROM nation", "INSERT INTO t VALUES (99)", "DELETE FROM t WHERE k < 5", "VACUUM", "ANALYZE t"], "SELECT tbl, stat FROM sqlite_stat1", "SELECT 't' AS tbl, (count(*) - 4)::VARCHAR AS stat FROM nation"),
+    "virtual_module": (["CREATE VIRTUAL TABLE s USING series(1, 1000)"], "SELECT value FROM s WHERE value > 990", "SELECT range::BIGINT AS value FROM range(991, 1001)"),
+    "workload_update": (["CREATE TABLE usertable (userid INTEGER PRIMARY KEY, f TEXT)", "INSERT INTO usertable SELECT o_orderkey, o_orderpriority || 'x' FROM orders", "UPDATE OR FAIL usertable SET f = upper(f) WHERE userid = 77"], "SELECT userid, f FROM usertable", "SELECT o_orderkey AS userid, CASE WHEN o_orderkey = 77 THEN upper(o_orderpriority || 'x') ELSE o_orderpriority || 'x' END AS f FROM orders"),
+    "workload_insert": (["CREATE TABLE usertable (userid INTEGER PRIMARY KEY, f TEXT)", "INSERT OR REPLACE INTO usertable SELECT o_orderkey, o_orderstatus FROM orders", "INSERT OR REPLACE INTO usertable (userid, f) VALUES (5, 'new')", "INSERT INTO usertable (f) VALUES ('last')", "DELETE FROM usertable WHERE userid = 6"], "SELECT userid, f FROM usertable",
+        "SELECT o_orderkey AS userid, CASE WHEN o_orderkey = 5 THEN 'new' ELSE o_orderstatus END AS f FROM orders WHERE o_orderkey <> 6 UNION ALL SELECT max(o_orderkey) + 1, 'last' FROM orders"),
+    "workload_transaction": (["CREATE TABLE usertable (userid INTEGER PRIMARY KEY, f INTEGER)", "INSERT INTO usertable SELECT c_custkey, c_nationkey FROM customer", "BEGIN", "UPDATE usertable SET f = (SELECT f FROM usertable WHERE userid = 2) + (SELECT f FROM usertable WHERE userid = 3) WHERE userid = 1", "COMMIT"], "SELECT userid, f FROM usertable WHERE userid >= 1 ORDER BY userid LIMIT 10",
+        "SELECT c_custkey AS userid, CASE WHEN c_custkey = 1 THEN (SELECT sum(c_nationkey) FROM customer WHERE c_custkey IN (2, 3)) ELSE c_nationkey END::BIGINT AS f FROM customer WHERE c_custkey >= 1 ORDER BY c_custkey LIMIT 10"),
 }

@@ -105,7 +105,7 @@ class Shell:
                 if name == ".backup":
                     storage.backup(t.df, f"{args[-1]}/{t.name}")
                 else:
-                    e._store(t, storage.restore(e.spark, f"{args[-1]}/{t.name}"))
+                    e.restore(t.name, storage.restore(e.spark, f"{args[-1]}/{t.name}"))
         elif name == ".tables":
             yield from sorted(n for n in [*(t.name for t in e.tables.values()), *e.views] if not args or args[0].strip("%") in n)
         elif name == ".schema":

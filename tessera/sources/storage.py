@@ -1,4 +1,4 @@
-"""Where managed tables live: one Parquet folder a version, published by switching a pointer."""
+"""Where managed tables live: Parquet folders, of which a version of a table is a list."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -16,21 +17,28 @@ def default_root(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local[") and sc.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share, or give the engine a root")
     return "file://" + _own.setdefault(sc.applicationId, tempfile.TemporaryDirectory(prefix="tessera-tables-")).name
 
 
-def write_version(df: DataFrame, root: str, table: str) -> tuple[str, DataFrame]:
-    """Writes one version of a table and reads it back; what was there before stays as it is."""
+def write_part(df: DataFrame, root: str, table: str) -> str:
+    """Writes rows of a table to a folder of their own; what was there before stays as it is."""
     path = f"{root}/{table}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_parts(spark: SparkSession, schema: StructType, paths: list[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # at exit the session may have ended: its folder goes with it
+        pass
 
 
 def backup(df: DataFrame, path: str) -> None:

@@ -23,12 +23,19 @@ def write_to_table(engine: Engine, table: str, policy: str = "REPLACE") -> Calla
     return batch
 
 
-def apply_changes(engine: Engine, table: str, key: str, op: str = "op") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for change records: rows whose ``op`` is 'D' are deleted by key, others replaced."""
+def apply_changes(engine: Engine, table: str, key: str, op: str = "op", order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for change records: rows whose ``op`` is 'D' are deleted by key, others replaced.
+
+    Of several changes of a key in a batch the one with the largest ``order`` holds; without
+    that column the last by partition and place, which is their order in one partition only.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        placed = rows.withColumn("__at", F.monotonically_increasing_id())
+        place = F.monotonically_increasing_id()
+        placed = rows.withColumn("__at", F.struct(F.col(order), place) if order else place)
         last = placed.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "__at").alias("r")).select("r.*")
+        if order and order.lower() not in [c["name"].lower() for c in engine.table(table).columns]:
+            last = last.drop(order)
         last.persist()
         try:
             engine.insert_rows(table, last.filter(F.col(op) != "D").drop(op), "REPLACE")

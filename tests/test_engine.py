@@ -265,3 +265,135 @@ def test_stream_of_changes(engine, spark, tmp_path):
     query.stop()
     step(spark.createDataFrame([(1, None, "D"), (2, "c", "U"), (3, "d", "U")], "k long, v string, op string"), 1)
     assert sorted(rows(engine.sql("SELECT k, v FROM t"))) == [(2, "c"), (3, "d")]
+
+
+def _folders(engine, name):
+    import os
+
+    top = f"{engine.root.removeprefix('file://')}/{name}"
+    return sorted(os.listdir(top)) if os.path.isdir(top) else []
+
+
+def test_plain_changes_are_one_pass(engine, monkeypatch):
+    plans = []
+    engine.sql("CREATE TABLE one_pass AS SELECT c_custkey, c_acctbal, c_name FROM customer")
+    rewrite = engine._rewrite
+    monkeypatch.setattr(engine, "_rewrite", lambda t, marked, after: plans.append(after(marked)._jdf.queryExecution().executedPlan().toString()) or rewrite(t, marked, after))
+    engine.sql("UPDATE one_pass SET c_acctbal = 0 WHERE c_custkey < 10")
+    assert engine.changes == 10
+    engine.sql("DELETE FROM one_pass WHERE c_custkey < 4")
+    assert engine.changes == 4
+    assert len(plans) == 2 and not any("Join" in p or "Exchange" in p for p in plans)
+    assert rows(engine.sql("SELECT count(*), sum(c_acctbal = 0) FROM one_pass WHERE c_custkey < 10")) == [(6, 6)]
+    before = engine.table("one_pass").parts
+    engine.sql("UPDATE one_pass SET c_acctbal = 1 WHERE c_custkey < 0")
+    assert engine.changes == 0 and engine.table("one_pass").parts == before
+
+
+def test_inserts_add_folders(engine):
+    engine.sql("CREATE TABLE appended (a INTEGER PRIMARY KEY, b INT)")
+    for k in range(20):
+        first = dict(engine.table("appended").parts)
+        engine.insert_rows("appended", engine.spark.range(10).selectExpr(f"id + {10 * k} AS a", "id AS b"))
+        assert k >= 15 or set(first) < set(dict(engine.table("appended").parts))
+    assert len(engine.table("appended").parts) < 16
+    assert [r[0] for r in rows(engine.sql("SELECT a FROM appended ORDER BY a"))] == list(range(200))
+
+
+def test_vacuum_leaves_one_folder(engine):
+    engine.script("CREATE TABLE kept_small (a INTEGER); INSERT INTO kept_small VALUES (1); INSERT INTO kept_small VALUES (2); UPDATE kept_small SET a = a + 1; DELETE FROM kept_small WHERE a = 2")
+    assert len(_folders(engine, "kept_small")) > 1 and not _folders(engine, "kept_small-rows")
+    engine.sql("VACUUM")
+    assert len(_folders(engine, "kept_small")) == 1 and rows(engine.sql("SELECT a FROM kept_small")) == [(3,)]
+    engine.sql("BEGIN")
+    for _ in range(3):
+        engine.sql("UPDATE kept_small SET a = a + 1")
+    with pytest.raises(SqlError, match="within a transaction"):
+        engine.sql("VACUUM")
+    engine.sql("COMMIT")
+    assert len(_folders(engine, "kept_small")) == 2 and rows(engine.sql("SELECT a FROM kept_small")) == [(6,)]
+    engine.script("BEGIN; DELETE FROM kept_small; ROLLBACK")
+    assert rows(engine.sql("SELECT a FROM kept_small")) == [(6,)]
+
+
+def test_row_ids_of_created_tables(engine):
+    before = engine.spark.conf.get("spark.sql.shuffle.partitions")
+    engine.spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        engine.sql("CREATE TABLE numbered AS SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey")
+    finally:
+        engine.spark.conf.set("spark.sql.shuffle.partitions", before)
+    n = rows(engine.sql("SELECT count(*) FROM numbered"))[0][0]
+    assert sorted(r[0] for r in rows(engine.sql("SELECT rowid FROM numbered"))) == list(range(1, n + 1))
+
+
+def test_collations_are_of_one_engine(engine):
+    engine.create_collation("MINE", lambda sql: f"reverse({sql})")
+    with pytest.raises(SqlError, match="no such collation"):
+        Engine(engine.spark).sql("SELECT 'a' = 'b' COLLATE MINE")
+
+
+def test_bare_columns_are_of_one_row(engine):
+    got = rows(engine.sql("SELECT n_regionkey, n_name, n_nationkey FROM nation GROUP BY n_regionkey ORDER BY n_name || n_nationkey"))
+    assert len(got) == 5 and all(name == f"NATION_{key}" for _, name, key in got)
+
+
+def test_fail_and_deferred_keys(engine):
+    engine.script("PRAGMA foreign_keys = ON; CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER PRIMARY KEY, p INTEGER REFERENCES p (id) DEFERRABLE INITIALLY DEFERRED)")
+    with pytest.raises(ConstraintError):
+        engine.sql("INSERT INTO c VALUES (1, 9)")
+    engine.sql("DELETE FROM c")
+    engine.script("BEGIN; INSERT INTO c VALUES (1, 9)")
+    with pytest.raises(ConstraintError):
+        engine.sql("COMMIT")
+    engine.script("INSERT INTO p VALUES (9); COMMIT")
+    assert rows(engine.sql("SELECT count(*) FROM c")) == [(1,)]
+
+
+def test_views_without_triggers_do_not_change(engine):
+    engine.sql("CREATE VIEW v AS SELECT n_name FROM nation")
+    for s in ("INSERT INTO v VALUES ('x')", "UPDATE v SET n_name = 'x'", "DELETE FROM v"):
+        with pytest.raises(SqlError, match="cannot modify v because it is a view"):
+            engine.sql(s)
+    with pytest.raises(SqlError, match="cannot create INSTEAD OF trigger on table"):
+        engine.sql("CREATE TRIGGER tr INSTEAD OF DELETE ON nation BEGIN SELECT RAISE(IGNORE); END")
+
+
+@pytest.mark.parametrize("pattern", ["a*", "[]]x", "[^]]x", "a?c", "[a", "*[0-9]", "\\Q.*", "[\\]x", "a.c", "", "[^a-c]*"])
+def test_glob_of_a_column(engine, pattern):
+    texts = ["abc", "a.c", "]x", "[a", "\\x", "\\Q.*", "x9", "", "zz", "a"]
+    df = engine.spark.createDataFrame([(t, pattern) for t in texts], "t string, p string")
+    engine.register("globs", df)
+    got = [bool(r[0]) for r in rows(engine.sql("SELECT t GLOB p FROM globs"))]
+    assert got == [bool(r[0]) for r in rows(engine.sql("SELECT t GLOB ? FROM globs", [pattern]))]
+
+
+def test_full_text_postings_follow_changes(engine):
+    engine.script("CREATE VIRTUAL TABLE notes USING fts4(body, tokenize=porter); INSERT INTO notes (docid, body) VALUES (1, 'running dogs'); INSERT INTO notes (docid, body) VALUES (2, 'a dog runs')")
+    assert sorted(rows(engine.sql("SELECT docid FROM notes WHERE notes MATCH 'run'"))) == [(1,), (2,)]
+    assert len(engine._postings) >= 2
+    engine.sql("UPDATE notes SET body = 'cats' WHERE docid = 1")
+    assert rows(engine.sql("SELECT docid, offsets(notes) FROM notes WHERE body MATCH 'dogs'")) == [(2, "0 0 2 3")]
+    assert rows(engine.sql("SELECT snippet(notes) FROM notes WHERE docid = 1")) == [("",)]
+    engine.sql("DELETE FROM notes")
+    assert rows(engine.sql("SELECT docid FROM notes WHERE notes MATCH 'run'")) == []
+    for bad, error in (("SELECT offsets(nation) FROM nation", "unable to use function offsets"), ("CREATE VIRTUAL TABLE x USING fts4(a, tokenize=icu)", "unknown tokenizer"), ("SELECT matchinfo(notes, 'z') FROM notes WHERE notes MATCH 'a'", "unrecognized matchinfo")):
+        with pytest.raises(SqlError, match=error):
+            engine.sql(bad)
+
+
+def test_changes_in_order_of_a_column(engine, spark):
+    engine.sql("CREATE TABLE streamed (k INTEGER PRIMARY KEY, v TEXT)")
+    changes = spark.createDataFrame([(1, "late", "U", 9), (1, "early", "U", 1), (2, "x", "U", 1), (2, None, "D", 2)], "k long, v string, op string, at long").repartition(4)
+    apply_changes(engine, "streamed", "k", order="at")(changes, 0)
+    assert rows(engine.sql("SELECT k, v FROM streamed")) == [(1, "late")]
+
+
+def test_restore_is_checked(engine):
+    engine.script("CREATE TABLE checked (a INTEGER PRIMARY KEY, b INT CHECK (b > 0)); INSERT INTO checked VALUES (1, 1)")
+    with pytest.raises(ConstraintError):
+        engine.restore("checked", engine.spark.createDataFrame([(1, -1)], "a long, b long"))
+    with pytest.raises(SqlError):
+        engine.restore("checked", engine.spark.createDataFrame([(1, "x")], "a long, b string"))
+    engine.restore("checked", engine.spark.createDataFrame([(7, 2)], "a long, b long"))
+    assert rows(engine.sql("SELECT a, b FROM checked")) == [(7, 2)]
