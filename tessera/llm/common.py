@@ -53,7 +53,7 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    atexit.register(remove, spark, path)
+    remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)
@@ -74,11 +74,23 @@ def release(*tables: DataFrame) -> None:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
+    _delete(*_files(spark), path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_delete, *_files(spark), path)
+
+
+def _files(spark: SparkSession) -> tuple:
+    """What deletes files, also once the session has been stopped."""
+    return spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def _delete(jvm, conf, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended: its folder goes with it
+        target.getFileSystem(conf).delete(target, True)
+    except Exception:  # the driver's JVM has ended
         pass
 
 
