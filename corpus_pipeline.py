@@ -6,14 +6,13 @@ only the columns of ``documents``: others, whatever their names, do not matter a
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, remove, shared_dir
+from tessera.llm.common import materialize, remove, remove_at_exit, shared_dir
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
@@ -99,5 +98,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(path)
         if k:
             remove(spark, f"{folder}/{k - 1}")
-    atexit.register(remove, spark, folder)
+    remove_at_exit(spark, folder)
     return docs
