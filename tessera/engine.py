@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import copy
+import uuid
 import weakref
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from tessera.functions.shims import COLLATIONS, affinity, quote, value
 from tessera.plans.compiler import ROWID, Compiler, Scope, Source, ident
 from tessera.plans.lexer import SqlError, split_statements
 from tessera.plans.parser import parse
-from tessera.sources.storage import default_root, delete_path, read_parts, write_part
+from tessera.sources.storage import Files, default_root, read_parts, write_part
 from tessera.sources.virtual import SeriesSource, virtual_table
 
 
@@ -121,16 +122,19 @@ class Engine:
         self._failure: str | None = None
         self._started: set[str] = set()
         self._deferred: list[tuple[str, list[str], dict]] = []
-        held = weakref.ref(self)
-        atexit.register(lambda: held() is not None and held()._delete(held()._owned))
+        self._files, self._home = Files(spark), ""
 
     # catalog
 
     @property
     def root(self) -> str:
-        if self._root is None:
-            self._root = default_root(self.spark)
-        return self._root
+        """The engine's own folder: gone when the process ends, but for the current tables under a root that was given."""
+        if not self._home:
+            self._home = f"{(self._root or default_root(self.spark)).rstrip('/')}/engine-{uuid.uuid4().hex}"
+            held, home = weakref.ref(self), self._home
+            last = (lambda: held()._owned - held()._live() if held() else []) if self._root else (lambda: [home])
+            atexit.register(self._files.at_exit, last)
+        return self._home
 
     def register(self, name: str, data: DataFrame | str) -> None:
         """A table that is read in place; its columns keep their Spark types."""
@@ -305,10 +309,10 @@ class Engine:
 
     def _delete(self, paths) -> None:
         for p in list(paths):
-            delete_path(self.spark, p)
+            self._files.delete(p)
             self._owned.discard(p)
             if found := self._postings.pop(p, None):
-                delete_path(self.spark, found)
+                self._files.delete(found)
 
     def _live(self) -> set[str]:
         """The folders of current versions and of those that rollbacks may return to."""
@@ -1159,7 +1163,7 @@ class Engine:
             at = [c["name"] for c in self.table(x["table"]).columns]
             return make([(i, at.index(c), c) for i, c in enumerate(x["columns"])], "seqno long, cid long, name string")
         if name == "database_list":
-            return make([(0, "main", self._root or ""), *[(i + 2, n, "") for i, n in enumerate(self.attached)]], "seq long, name string, file string")
+            return make([(0, "main", self._home), *[(i + 2, n, "") for i, n in enumerate(self.attached)]], "seq long, name string, file string")
         if name == "foreign_key_list":
             rows = [
                 (k, i, r["table"], c, (r["columns"] or [None] * len(cs))[i], r["UPDATE"], r["DELETE"], "NONE")

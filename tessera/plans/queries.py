@@ -13,7 +13,6 @@ from tessera.operators.fulltext import FullText
 from tessera.plans import wiki
 from tessera.plans.inventory import CHANGES, SELECTS, TABLES
 from tessera.plans.lexer import SqlError, tokenize
-from tessera.sources.storage import delete_path
 
 
 def engine(spark: SparkSession, sf_dir: str, text: str = "") -> Engine:
@@ -147,7 +146,6 @@ def text_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     delimited.write_delimited(e.sql("SELECT n_nationkey, n_name FROM nation"), path, "|")
     e.sql("CREATE TABLE t (k INTEGER, name TEXT)")
     delimited.import_delimited(e, path, "t", "|")
-    delete_path(spark, path)
     return e.sql("SELECT k, name FROM t")
 
 
@@ -197,7 +195,6 @@ def backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.sql("DELETE FROM nation WHERE n_nationkey > 3")
     e.restore("nation", storage.restore(spark, path))
     out = e.sql("SELECT n_nationkey, n_name, n_regionkey FROM nation")
-    delete_path(spark, path)
     return out
 
 

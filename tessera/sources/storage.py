@@ -33,12 +33,23 @@ def read_parts(spark: SparkSession, schema: StructType, paths: list[str]) -> Dat
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # at exit the session may have ended: its folder goes with it
-        pass
+class Files:
+    """Deletes folders of the shared file system, also once the session has been stopped."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def delete(self, path: str) -> None:
+        target = self.jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.conf).delete(target, True)
+
+    def at_exit(self, paths) -> None:
+        """Deletes what the call ``paths`` names, if the driver's JVM still runs."""
+        try:
+            for p in paths():
+                self.delete(p)
+        except Exception:  # nothing is left to delete with
+            pass
 
 
 def backup(df: DataFrame, path: str) -> None:
