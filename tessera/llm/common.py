@@ -34,8 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own.name}"
 
 
-#: Spark deletes a query's shuffle files at its end if this is set.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written: a query's shuffle files go at its end, and Python workers take
+#: texts in batches of so many bytes, as the buffers of larger ones count several times beside the heap.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -47,12 +51,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
