@@ -321,6 +321,28 @@ def test_near_vectors(spark):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def test_near_vectors_of_the_table(spark):
+    """All rows of ``embeddings`` against brute force: recall of the links, and the components of what was found."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    frame = table.toPandas()
+    got = multi_index.near_vectors(table).toPandas().set_index("vec_id").loc[frame.vec_id]
+    x = np.stack(frame.embedding.to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    true, found = close.sum(1), got.n_links.to_numpy()
+    asked = frame.vec_id.to_numpy() % 50 == 0
+    assert (found <= true).all() and found.sum() >= 0.98 * true.sum() and found[asked].sum() >= 0.9 * true[asked].sum()
+    least = frame.vec_id.to_numpy().copy()
+    while True:
+        now = np.minimum(least, np.array([least[c].min() if c.any() else least[i] for i, c in enumerate(close)]))
+        if (now == least).all():
+            break
+        least = now
+    agree = (got.component_id.to_numpy() == least).mean()
+    assert agree >= 0.98 and (got.component_id.to_numpy() >= least).all()
+
+
 @pytest.mark.parametrize("rows", [3_000, 1_000_000])
 def test_probes_hold_outside_a_hot_group(rows):
     rng = np.random.default_rng(7)
@@ -432,6 +454,32 @@ def test_quality_held_out(spark):
     assert (both.kept == (both.quality == 1)).mean() > 0.95
 
 
+def test_votes_like_regular_expressions():
+    from tessera.llm.words import Words, text_chunks
+
+    texts = ["The cat, the dog and the.", "AB CD ef!! go! #tag x# ####", "", "  \n ", "a a a\tb b", "one two two three", "de la. le,les un;", "É É é. ends? here", "the,end of.x", "word"] + ["x y. " * 30, "The of and. " * 20]
+    space = r"[\x20\x09-\x0D]"
+    want = []
+    for t in texts:
+        n = max(len(re.findall(rf"[^{space[1:-1]}]+", t)), 1)
+        dense = re.sub(space, "", t)
+        chars = max(len(dense), 1)
+        stops = len(re.findall(rf"(?<![^\x20\x09-\x0D])(?:{'|'.join(quality_classifier._STOPS)})(?![^\x20\x09-\x0D,.])", t)) / n
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        echoes = sum(a == b for a, b in zip(words, words[1:])) / n
+        ends = len(re.findall(r"[.!?](?=[\x20\x09-\x0D]|\Z)", t)) / n
+        variety = max(len(set(words)), 1) / n
+        want.append({
+            "symbols": -(len(re.findall(r"[#*$%&|<>{}=~^\\_@]", t)) / n > 0.3), "marked": -(len(re.findall(r"[#*$%&|<>{}=~^\\_@!]{1,3}(?=[\x20\x09-\x0D]|\Z)", t)) / n > 0.25),
+            "upper": -(len(re.findall("[A-Z]", t)) / chars > 0.4), "capital": -(len(re.findall(r"(?<![^\x20\x09-\x0D])[A-Z]{2}", t)) / n > 0.4), "exclaims": -(len(re.findall("[!?]", t)) / n > 0.25),
+            "stop_words": -1 if stops < 0.03 and n >= 20 else int(stops > 0.1 and variety > 0.2), "echoes": -(echoes > 0.2 and n >= 10), "variety": -1 if variety < 0.15 and n >= 20 else int(variety > 0.3 and n >= 2),
+            "sentences": -1 if ends < 0.01 and n > 50 or ends > 0.5 and n > 20 else int(0.03 < ends < 0.4 and echoes < 0.1), "word_length": -((chars / n < 2 or chars / n > 14) and n >= 5), "length": -(n < 2),
+        })
+    for _, _, data, bounds in text_chunks(pa.array(texts)):
+        got = [dict(zip(quality_classifier.LABELLERS, map(int, v))) for v in quality_classifier.vote(Words(data, bounds))]
+        assert got == [{k: int(v) for k, v in w.items()} for w in want]
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(2)
     y = rng.random(5000) < 0.8
