@@ -19,13 +19,15 @@ from tessera.llm.common import materialize, release
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: So many of the most frequent words of at most ``LONG_WORD`` bytes are broadcast (some ten MB); all others are joined.
 FREQUENT_WORDS = 150_000
-#: The first rounds of expectation-maximisation see about so many words that are not long, chosen by hash, the last one sees all.
-WARM_WORDS, WARM_ROUNDS = 30_000, 4
+#: Rounds of expectation-maximisation before the last one.  Each sees all training words: there is no bound on them.
+WARM_WORDS, WARM_ROUNDS = math.inf, 4
 #: Added to each piece's expected count.
 SMOOTH = 0.05
 #: Longer words go through the recursion one by one.
 LONG_WORD = 64
 FLUSH_WORDS, FLUSH_BYTES = 300_000, 1 << 26
+#: Words go through the recursions so many, or so many bytes of them, at a time.
+GATHER_WORDS, GATHER_BYTES = 100_000, 1 << 23
 _SPACE = b" "
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 22
@@ -68,9 +70,12 @@ class Lattice:
     def __init__(self, path: str):
         self.pieces, self.scores = pieces(path)
         self.number = {t: i for i, t in enumerate(self.pieces)}
-        hashes = np.array([self._hash(t) for t in self.pieces], dtype=np.uint64)
         self.longest = max(map(len, self.pieces))
         self.prefixes = {t[:k] for t in self.pieces for k in range(1, len(t))}
+        # hashed are the pieces, by number, and after them what only begins some
+        known = self.pieces + sorted(self.prefixes.difference(self.number))
+        self.goes_on = np.array([t in self.prefixes for t in known] + [False])  # the last one: not found
+        hashes = np.array([self._hash(t) for t in known], dtype=np.uint64)
         slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
         self.table = np.full(1 << _SLOTS, -1, dtype=np.int32)
         self.table[slot] = np.arange(len(slot))  # of pieces with one slot the last has it
@@ -100,16 +105,20 @@ class Lattice:
     def arcs(self, words: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
         """For equally long words (a matrix of bytes): (start, end) -> (words, pieces) of the arcs there."""
         n, size = words.shape
-        out = {}
+        columns, out = words.T.astype(np.uint64) + np.uint64(1), {}
         for i in range(size):
-            h = np.zeros(n, dtype=np.uint64)
+            rows, h = np.arange(n), np.zeros(n, dtype=np.uint64)
             for j in range(i + 1, min(size, i + self.longest) + 1):
-                h = (h + words[:, j - 1] + np.uint64(1)) * _M
+                h = (h + columns[j - 1, rows]) * _M
                 h ^= h >> np.uint64(29)
                 found = self._find(h)
-                rows = np.flatnonzero(found >= 0)
-                if len(rows):
-                    out[i, j] = rows, found[rows]
+                hit = np.flatnonzero((found >= 0) & (found < len(self.pieces)))
+                if len(hit):
+                    out[i, j] = rows[hit], found[hit]
+                left = np.flatnonzero(self.goes_on[found])  # no piece begins with the others
+                if not len(left):
+                    break
+                rows, h = rows[left], h[left]
         return out
 
     def forward(self, arcs: dict, n: int, size: int, logp: np.ndarray) -> np.ndarray:
@@ -257,12 +266,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, as the lattices of many words of one length cost less a word."""
+    some, rows, size = [], 0, 0
+    for batch in batches:
+        some.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= GATHER_WORDS or size >= GATHER_BYTES:
+            yield pa.concat_batches(some)
+            some, rows, size = [], 0, 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def _expect(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, logp = shared.value
         own = lattice(path or default_vocabulary())
         total = np.zeros(len(logp))
-        for batch in batches:
+        for batch in _gathered(batches):
             total += own.counts(batch.column(0).to_pylist(), np.ones(batch.num_rows), logp)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(logp))), pa.array(total)], ["piece", "uses"])
 
@@ -273,7 +295,7 @@ def _rate(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, logp, discount, n_all, rest = shared.value
         own = lattice(path or default_vocabulary())
-        for batch in batches:
+        for batch in _gathered(batches):
             found = own.likelihood(batch.column(0).to_pylist(), logp) + np.log(rest)
             whole = np.maximum(batch.column(1).to_numpy() - discount, 0) / max(n_all, 1)
             with np.errstate(divide="ignore"):
@@ -323,10 +345,10 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     end sum to one.
 
     The vocabulary file gives the pieces and their first scores.  Scores are refitted by
-    expectation-maximisation on the different training words, a few rounds on a sample and
-    a last one on all.  Word counts, expected uses and likelihoods are computed once for each different
-    word, in parallel; texts look the most frequent words up in a bounded broadcast and
-    join the rest.
+    five rounds of expectation-maximisation, each on all different training words.  Word
+    counts and likelihoods are computed once for each different word and expected uses
+    once a round, in parallel; texts look the most frequent words up in a bounded
+    broadcast and join the rest.
 
     A null text counts as empty (the end alone); texts and words are scored whole, a long word
     in time linear in its length; repeated rows are scored each, ties need no breaking; without
@@ -351,19 +373,14 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     own = lattice(path or default_vocabulary())
     logp, discount, rest, log_end = own.scores, 0.0, 0.5, float(np.log(0.5))
     if kinds:
-        share = F.lit(min(1 << 30, int((1 << 30) * WARM_WORDS / kinds)))
-        warm = words.filter("c > 0").filter(F.octet_length("word") <= LONG_WORD).filter(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share).select("word").toArrow()
-        warm_words = sorted(bytes(w) for w in warm.column(0).to_pylist())
-        for _ in range(WARM_ROUNDS if warm_words else 0):
-            logp = _maximise(own.counts(warm_words, np.ones(len(warm_words)), logp))
-        shared = spark.sparkContext.broadcast((path, logp))
-        uses = (
-            words.filter("c > 0").select("word").mapInArrow(_expect(shared), "piece long, uses double")
-            .groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
-        )  # one row a piece
-        total = np.zeros(len(logp))
-        total[uses.column(0).to_numpy()] = uses.column(1).to_numpy()
-        logp = _maximise(total)
+        trained = words.filter("c > 0").select("word")
+        for _ in range(WARM_ROUNDS + 1):
+            shared = spark.sparkContext.broadcast((path, logp))
+            uses = trained.mapInArrow(_expect(shared), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()  # one row a piece
+            total = np.zeros(len(logp))
+            total[uses.column(0).to_numpy()] = uses.column(1).to_numpy()
+            logp = _maximise(total)
+            shared.unpersist()
         once, twice = int(sums["n1"] or 0), int(sums["n2"] or 0)
         discount = (once + 1) / (once + 2 * twice + 2)
         rest = discount * kinds / n_all

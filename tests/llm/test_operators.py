@@ -432,6 +432,29 @@ def test_score_of_each_text(docs):
         assert got.score[i] == pytest.approx(want + rest, rel=1e-9)
 
 
+def test_every_round_sees_all_words(spark):
+    """``score`` from rounds that each go over all training words, long ones and tens of thousands of others."""
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"etaoinshrdlucmfwypvbgkqjxz", np.uint8)
+    words = sorted({letters[np.minimum(rng.geometric(0.15, k) - 1, 25)].tobytes() for k in rng.integers(3, 12, 60_000)})
+    words += [letters[np.minimum(rng.geometric(0.15, 90) - 1, 25)].tobytes() for _ in range(300)]
+    assert len(words) > 40_000
+    texts = {i: words[i::16] for i in range(16)}
+    rows = spark.createDataFrame([(i, b" ".join(t).decode()) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lattice_lm.score_texts(rows.repartition(4)).collect()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert 0 < len(train) < 16 and {i for i in texts if not got[i]["held_out"]} == set(train)
+    own, seen = lattice_lm.lattice(lattice_lm.default_vocabulary()), [w for i in train for w in texts[i]]
+    logp = own.scores
+    for _ in range(5):
+        smooth = own.counts(seen, np.ones(len(seen)), logp) + lattice_lm.SMOOTH
+        logp = np.log(smooth / smooth.sum())
+    n, discount = len(seen) + len(train), (len(seen) + 1) / (len(seen) + 2)  # every word once
+    for i, t in texts.items():
+        chance = discount * len(seen) / n * np.exp(own.likelihood(t, logp)) + (i in train) * (1 - discount) / n
+        assert got[i]["score"] == pytest.approx(np.log10(chance).sum() + math.log10(len(train) / n), rel=1e-9)
+
+
 def test_lm_base_and_held_out(docs, monkeypatch):
     monkeypatch.setattr(lattice_lm, "FREQUENT_WORDS", 50)
     got = lattice_lm.score_texts(docs).toPandas().sort_values("doc_id")
