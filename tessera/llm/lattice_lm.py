@@ -163,10 +163,10 @@ class Lattice:
 
     def likelihood(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
         """log of each word's probability, summed over all segmentations."""
-        out = np.zeros(len(words))
+        out, plain = np.zeros(len(words)), logp.tolist()
         for at, block in self.by_length(words):
             if block.shape[1] > LONG_WORD + 1:
-                out[at] = self._long(block[0].tobytes(), logp)
+                out[at] = self._long_forward(block[0].tobytes(), plain)[-1]
             else:
                 out[at] = self.forward(self.arcs(block), *block.shape, logp)[-1]
         return out
