@@ -17,10 +17,8 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality_classifier import classify_quality
-from tessera.llm.suffix_dedup import remove_repeats
+from tessera.llm.suffix_dedup import PASSAGE_WORDS, remove_repeats
 
-#: Words of a repeated passage that goes, at least; so do repeats of suffix_dedup.LENGTH bytes, however few their words.
-PASSAGE_WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

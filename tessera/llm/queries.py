@@ -16,9 +16,9 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.suffix_dedup import repeats_digest
+    from tessera.llm.suffix_dedup import PASSAGE_WORDS, repeats_digest
 
-    return repeats_digest(_table(spark, sf_dir, "documents"))
+    return repeats_digest(_table(spark, sf_dir, "documents"), words=PASSAGE_WORDS)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 
 #: Up to so many symbols, buckets are induced as whole arrays; beyond, entry by entry.
 SMALL_ALPHABET = 600
+#: Sequences of names shorter than this are ordered by doubled ranks: two ranks and a place fit 63 bits.
+RANKED = 1 << 21
 
 
 def _types(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,18 +113,37 @@ def _induce_entries(s: list[int], larger: list[int], smaller: list[int], seeds:
     return order
 
 
-def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
+def _by_ranks(names: np.ndarray) -> np.ndarray:
+    """The starts of the suffixes of ``names`` in order: ranks of their first 1, 2, 4, ... symbols, until all differ."""
+    n = len(names)
+    bits = np.int64(n.bit_length())
+    here, rank, step = np.arange(n, dtype=np.int64), names + 1, 1
+    while True:
+        ahead = np.zeros(n, dtype=np.int64)  # 0: past the end, smaller than any rank
+        ahead[: max(0, n - step)] = rank[step:]
+        key = np.sort((rank << bits | ahead) << bits | here)
+        order, pair = key & ((np.int64(1) << bits) - 1), key >> bits
+        ranks = np.concatenate(([1], 1 + np.cumsum(pair[1:] != pair[:-1])))
+        if ranks[-1] == n:
+            return order
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = ranks
+        step *= 2
+
+
+def suffix_array(s: np.ndarray, k: int, entries: bool = False) -> np.ndarray:
     """The starts of the suffixes of ``s`` (symbols 0 .. k - 1) in order.
 
     Suffixes are classified as larger or smaller than their successor; substrings between
-    leftmost smaller ones are sorted by inducing, named, and their sequence is sorted by
-    the same function; from their order the whole array is induced in linear time.
+    leftmost smaller ones are sorted by inducing and named; the sequence of names is sorted by
+    doubled ranks, or by the same function if it is too long for them; from its order the whole array is induced in linear time.
+    With ``entries`` it is induced entry by entry whatever the alphabet: better for long runs over few symbols.
     """
     n = len(s)
     if n < 2:
         return np.arange(n)
     is_s, leftmost = _types(s)
-    if k <= SMALL_ALPHABET:
+    if k <= SMALL_ALPHABET and not entries:
 
         def induce(seeds: np.ndarray) -> np.ndarray:
             return _induce_arrays(s, is_s, seeds, k)
@@ -167,7 +188,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
         if kinds == len(leftmost):
             sorted_leftmost = order
         else:
-            sorted_leftmost = leftmost[suffix_array(reduced, kinds)]
+            sorted_leftmost = leftmost[_by_ranks(reduced) if len(reduced) < RANKED else suffix_array(reduced, kinds)]
     else:
         sorted_leftmost = leftmost
     return induce(sorted_leftmost)
@@ -188,18 +209,21 @@ def permuted_lcp(s: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarr
         other = phi[1:]
         both = other > 0
         irreducible[1:][both] = s[here[both] - 1] != s[other[both] - 1]
-    padded = np.concatenate([s.astype(np.uint64) + np.uint64(1), np.zeros(4, dtype=np.uint64)])
-    word = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    wide = 4 if n and s.max() < 65_535 else 2
+    padded = np.concatenate([s.astype(np.uint64) + np.uint64(1), np.zeros(wide, dtype=np.uint64)])
+    word = padded[: n + 1].copy()
+    for k in range(1, wide):
+        word |= padded[k : n + 1 + k] << np.uint64(64 // wide * k)
     plcp = np.zeros(n, dtype=np.int64)
     active = np.flatnonzero(irreducible & (phi >= 0))
-    while len(active):  # four symbols at a time
+    while len(active):  # four or two symbols at a time
         x, y = active + plcp[active], phi[active] + plcp[active]
         same = word[np.minimum(x, n)] == word[np.minimum(y, n)]
-        inside = np.maximum(x, y) + 4 <= n
+        inside = np.maximum(x, y) + wide <= n
         go = same & inside
-        plcp[active[go]] += 4
+        plcp[active[go]] += wide
         left = active[~go]
-        for _ in range(3):
+        for _ in range(wide - 1):
             x, y = left + plcp[left], phi[left] + plcp[left]
             fits = np.maximum(x, y) < n
             left, x, y = left[fits], x[fits], y[fits]

@@ -15,10 +15,12 @@ from tessera.llm.suffix_array import permuted_lcp, suffix_array
 from tessera.llm.words import _RANDOM, Words, mix64, text_chunks
 
 LENGTH = 400
+#: Words of a repeated passage: over 50.
+PASSAGE_WORDS = 51
 #: Bytes of a gram whose hash anchors windows.
 GRAM = 64
 #: A shard's suffix array covers about so many bytes; groups of more pieces take the exact way for crowds.
-SHARD_BYTES = 250_000
+SHARD_BYTES = 500_000
 CROWD = 1_000
 #: Windows of a piece at most.
 MOST_WINDOWS = 4_096
@@ -123,36 +125,27 @@ def repeated_windows(blobs: list[bytes], length: int, words: bool = False) -> li
     """For each blob the windows that occur more than once in all blobs, as [from, to, from, to, ...].
 
     One suffix array over the blobs end to end; equal windows are neighbours in it, and
-    the permuted common prefixes tell where neighbours share a whole window.  A window of
-    words is its bytes with one space around each word: equal ones start at words too.
+    the permuted common prefixes tell where neighbours share a whole window.  With ``words``
+    its symbols are the words, numbered as they come, so white space between them does not count.
     """
     if words:
-        blobs = [b" %b " % b" ".join(b.split()) for b in blobs]
-    sizes = np.array([len(b) + 1 for b in blobs])
+        known: dict[bytes, int] = {}
+        rows = [np.array([known.setdefault(w, len(known) + 1) for w in b.split()], dtype=np.int64) for b in blobs]
+        k = len(known) + 1
+    else:
+        rows, k = [np.frombuffer(b, dtype=np.uint8).astype(np.int64) + 1 for b in blobs], 257
+    sizes = np.array([len(row) + 1 for row in rows])
     ends = np.cumsum(sizes)
     s = np.zeros(ends[-1], dtype=np.int64)
     fill = np.ones(ends[-1], dtype=bool)
     fill[ends - 1] = False  # symbol 0 ends every blob
-    s[fill] = np.frombuffer(b"".join(blobs), dtype=np.uint8).astype(np.int64) + 1
-    order = suffix_array(s, 257)
-    plcp, phi = permuted_lcp(s, order)
-    if words:
-        gaps = [begin + np.flatnonzero(np.frombuffer(b, np.uint8) == 32) for b, begin in zip(blobs, (ends - sizes).tolist())]
-        need = np.full(len(s), len(s) + 1)
-        for g in gaps:
-            need[g[:-length]] = g[length:] - g[:-length] + 1
-        deep = np.flatnonzero(plcp >= need)
-    else:
-        deep = np.flatnonzero(plcp >= length)
+    s[fill] = np.concatenate(rows)
+    plcp, phi = permuted_lcp(s, suffix_array(s, k, entries=words))
+    deep = np.flatnonzero(plcp >= length)
     hit = np.zeros(len(s), dtype=bool)
     hit[deep] = True
     hit[phi[deep]] = True
     out = []
-    if words:
-        for g in gaps:
-            flags = np.concatenate(([False], hit[g[:-length]], [False])).astype(np.int8)
-            out.append(np.flatnonzero(np.diff(flags)).tolist())
-        return out
     for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
         flags = np.zeros(max(0, end - begin - length) + 2, dtype=np.int8)
         flags[1:-1] = hit[begin : begin + len(flags) - 2]
@@ -219,31 +212,41 @@ def merge_spans(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        removed, spans, kept, marks = [], [], [], []
-        for text, begins, ends, of_words in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
-            raw = text.as_py()
-            begins, ends, of_words = begins.as_py(), ends.as_py(), of_words.as_py()
-            if any(of_words):
-                found = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
-                begins = [int(found.starts[b]) if w else b for b, w in zip(begins, of_words)]
-                ends = [int(found.ends[e - 1]) if w else e for e, w in zip(ends, of_words)]
-            runs = merge_spans(begins, ends)
-            parts, at = [], 0
-            for b, e in runs:
-                parts.append(raw[at:b])
-                at = e
-            left = b"".join([*parts, raw[at:]])
-            removed.append(len(raw) - len(left))
-            spans.append(len(runs))
-            kept.append(left)
-            marks.append(sha256(left).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-             pa.array(kept, pa.binary()), pa.array(marks)],
-            ["k1", "k2", "n_removed", "n_spans", "kept_bytes", "kept_sha256"],
-        )
+def _remove(apart: bool):
+    """What stays of each text; with ``apart`` without the spans of words, and then, as ``passage_*``, without those of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[list, list, list, list]] = [([], [], [], []) for _ in range(1 + apart)]
+            for text, begins, ends, of_words in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
+                raw = text.as_py()
+                begins, ends, of_words = begins.as_py(), ends.as_py(), of_words.as_py()
+                bare = [(b, e) for b, e, w in zip(begins, ends, of_words) if not w]
+                every = bare
+                if any(of_words):
+                    at = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+                    every = bare + [(int(at.starts[b]), int(at.ends[e - 1])) for b, e, w in zip(begins, ends, of_words) if w]
+                for spans, (removed, n_spans, kept, marks) in zip([bare, every] if apart else [every], found):
+                    runs = merge_spans(*map(list, zip(*spans))) if spans else []
+                    parts, done = [], 0
+                    for b, e in runs:
+                        parts.append(raw[done:b])
+                        done = e
+                    left = b"".join([*parts, raw[done:]])
+                    removed.append(len(raw) - len(left))
+                    n_spans.append(len(runs))
+                    kept.append(left)
+                    marks.append(sha256(left).hexdigest())
+            removed, n_spans, kept, marks = found[0]
+            columns = [pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(marks)]
+            names = ["k1", "k2", "n_removed", "n_spans", "kept_bytes", "kept_sha256"]
+            if apart:
+                removed, n_spans, _, marks = found[1]
+                columns += [pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(marks)]
+                names += ["passage_removed", "passage_spans", "passage_sha256"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
+
+    return run
 
 
 def _keys(text):
@@ -292,7 +295,13 @@ def _spans(places: DataFrame, bodies: DataFrame, length: int, crowd: int, words:
             .select("s1", "s2", "w", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit("2"), "x").alias("h2"))
         )
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").drop("c")
-    by_hash = windows.join(twice, ["h1", "h2"]).select("s1", "s2", F.array("w", F.col("w") + 1).alias("runs"))
+    # a row a piece, not a window: windows that follow each other are one run
+    by_hash = (
+        windows.join(twice, ["h1", "h2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+        .withColumn("b", F.expr("filter(ws, (w, i) -> coalesce(get(ws, i - 1), -2) <> w - 1)"))
+        .withColumn("e", F.expr("filter(ws, (w, i) -> coalesce(get(ws, i + 1), -2) <> w + 1)"))
+        .select("s1", "s2", F.expr("flatten(transform(b, (w, i) -> array(w, get(e, i) + 1)))").alias("runs"))
+    )
     runs = by_array.filter("size(runs) > 0").union(by_hash)
 
     whole = places.filter("whole").select("k1", "k2", F.col("start").alias("b"), (F.col("start") + F.col("n") + length - 1).alias("e"))
@@ -306,8 +315,9 @@ def _spans(places: DataFrame, bodies: DataFrame, length: int, crowd: int, words:
 
 
 def repeated_texts(
-    df: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, drop: tuple[str, ...] = (), words: int | None = None
-) -> DataFrame:
+    df: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, drop: tuple[str, ...] = (), words: int | None = None,
+    apart: bool = False,
+) -> DataFrame:
     """(k1, k2, n_removed, n_spans, kept_bytes, kept_sha256) of each different text that loses bytes, without ``drop``.
 
     1. A scan cuts each text into runs of windows that share an anchor: a piece of text
@@ -323,7 +333,8 @@ def repeated_texts(
     4. Windows become spans, per text they are merged, and the rest of the text is kept.
 
     With ``words``, steps 1 to 3 are done for windows of so many words as well, on the same
-    texts; step 4 merges the spans of both.
+    texts; step 4 merges the spans of both.  With ``apart`` the columns are those of ``length``
+    alone, and (passage_removed, passage_spans, passage_sha256) those of both.
     """
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     base = df.select(*_keys(raw), raw.alias("raw")).filter(F.octet_length("raw") >= min(length, 2 * words - 1 if words else length))
@@ -344,8 +355,9 @@ def repeated_texts(
         every = every.union(other)
     every = every.groupBy("k1", "k2").agg(*[F.collect_list(c).alias(c) for c in ("b", "e", "words")])
     cut = bodies.join(every, ["k1", "k2"]).select("k1", "k2", "raw", "b", "e", "words").mapInArrow(
-        _remove, "k1 long, k2 long, n_removed long, n_spans long, kept_bytes binary, kept_sha256 string"
-    )
+        _remove(apart), "k1 long, k2 long, n_removed long, n_spans long, kept_bytes binary, kept_sha256 string"
+        + ", passage_removed long, passage_spans long, passage_sha256 string" * apart
+    )
     out = materialize(cut.drop(*drop))
     release(*places, *spans, bodies)
     return out
@@ -385,15 +397,26 @@ def remove_repeats(
     return put_back(out, own)
 
 
-def repeats_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """What ``remove_repeats`` does to each row, as counts and the SHA-256 of what stays."""
+def repeats_digest(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, words: int | None = None
+) -> DataFrame:
+    """What ``remove_repeats`` does to each row, as counts and the SHA-256 of what stays.
+
+    These are of ``length`` alone.  With ``words``, ``passage_removed``, ``passage_spans`` and ``passage_sha256`` follow:
+    the same where runs of so many words go as well.
+    """
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    cut = repeated_texts(df, text_col, length, crowd, ("kept_bytes",))
+    cut = repeated_texts(df, text_col, length, crowd, ("kept_bytes",), words, words is not None)
     rows = df.select(F.col(id_col), *_keys(raw), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("own"))
+    more = []
+    if words is not None:
+        counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("passage_removed", "passage_spans")]
+        more = [*counts, F.coalesce("passage_sha256", "own").alias("passage_sha256")]
     return rows.join(cut, ["k1", "k2"], "left").select(
         id_col,
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("kept_sha256", "own").alias("kept_sha256"),
+        *more,
     )

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import html_extract, lattice_lm, minhash, mixing, multi_index, packing, quality_classifier, sharding, suffix_array, suffix_dedup
+from tessera.llm import html_extract, lattice_lm, minhash, mixing, multi_index, packing, quality_classifier, queries, sharding, suffix_array, suffix_dedup
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,46 @@ def test_suffix_array(symbols, entries):
         assert plcp[b] == shared and phi[b] == a
 
 
+@pytest.mark.parametrize("ranked", [0, 1 << 21])
+@pytest.mark.parametrize("entries", [False, True])
+def test_suffix_array_of_many_symbols(ranked, entries, monkeypatch):
+    monkeypatch.setattr(suffix_array, "RANKED", ranked)
+    few = np.random.default_rng(5).integers(0, 3, 3_000)
+    for symbols in (few, np.concatenate([np.arange(70_000), few[:500], 69_000 + few, few[:500], np.arange(60_000, 70_000)])):
+        order = suffix_array.suffix_array(symbols, int(symbols.max()) + 1, entries)
+        plcp, phi = suffix_array.permuted_lcp(symbols, order)
+        assert sorted(order.tolist()) == list(range(len(symbols)))
+        raw = symbols.astype(">i4").tobytes()
+        for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
+            n = int(plcp[b])
+            assert phi[b] == a and raw[4 * a : 4 * (a + n)] == raw[4 * b : 4 * (b + n)]
+            assert a + n == len(symbols) or symbols[a + n] < symbols[b + n]
+
+
+def test_query_catches_short_passages(spark, tmp_path):
+    """Passages of 51 words and under 400 bytes stay in the columns of the contract and go in those that follow."""
+    rng = np.random.default_rng(51)
+
+    def prose(n):
+        return ["".join(rng.choice(list("abcdefgh"), size=int(rng.integers(3, 7)))) for _ in range(n)]
+
+    passages = [prose(51) for _ in range(3)]
+    assert all(len(" ".join(p)) < 400 for p in passages)
+    texts = [" ".join(prose(80) + (passages[i % 3] if i % 2 else passages[i % 3][1:]) + prose(40)) for i in range(12)]
+    texts[1] = texts[1].replace(" ", "\n")
+    texts += [" ".join(prose(200)), None, "", "x" * 500, "x" * 500]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op2_suffix_dedup(spark, str(tmp_path)).collect()))
+    raws = [(t or "").encode() for t in texts]
+    assert [r[:5] for r in got] == [(i, *r) for i, r in enumerate(brute_repeats(raws, 400))]
+    left = []
+    for i, raw in enumerate(raws):
+        passage = " ".join(passages[i % 3]).replace(" ", "\n" if i == 1 else " ").encode()
+        left.append(raw.replace(passage, b"") if i < 12 else b"" if i >= 15 else raw)
+    assert [r[5:] for r in got] == [(len(a) - len(b), int(a != b), hashlib.sha256(b).hexdigest()) for a, b in zip(raws, left)]
+    assert [r[5] > 0 for r in got[:12]] == [i % 2 == 1 for i in range(12)] and not any(r[2] for r in got[:15])
+
+
 @pytest.mark.parametrize("length,crowd", [(12, 1000), (12, 2), (30, 1000)])
 def test_repeats_brute_force(spark, length, crowd):
     rng = np.random.default_rng(length + crowd)
@@ -107,6 +147,15 @@ def test_repeats_documents(docs):
     assert all(hashlib.sha256(kept[r[0]]).hexdigest() == r[4] for r in got)
 
 
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_passages_documents(docs, crowd):
+    """Columns of the length are as without words; those of passages are what ``remove_repeats`` with words leaves."""
+    got = sorted(map(tuple, suffix_dedup.repeats_digest(docs, crowd=crowd, words=51).collect()))
+    assert [r[:5] for r in got] == sorted(map(tuple, suffix_dedup.repeats_digest(docs).collect()))
+    kept = sorted((r["doc_id"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept_bytes"]).hexdigest()) for r in suffix_dedup.remove_repeats(docs, words=51).collect())
+    assert [(r[0], *r[5:]) for r in got] == kept and any(r[5] > r[2] for r in got)
+
+
 def test_shards(docs):
     got = sharding.shard_documents(docs).toPandas()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
